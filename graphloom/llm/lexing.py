@@ -32,7 +32,7 @@ _OPS = {
 }
 _OPS["typescript"] = _OPS["javascript"]
 _STRINGS = {
-    "python": r"(?:[rRbBuUfF]{1,2})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|" + _DQ + "|" + _SQ + ")",
+    "python": r"(?:[rRbBuUfF]{1,2})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?!\"\"\")" + _DQ + "|(?!''')" + _SQ + ")",
     "javascript": _DQ + "|" + _SQ + r"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`",
     "java": r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|(?!""")' + _DQ + r"|'(?:[^'\\\n\r]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'",
     "csharp": r'"""(?:[^"]|"(?!""))*"""|[$@]{0,2}@[$@]?"(?:[^"]|"")*"|\$?(?!""")' + _DQ + r"|'(?:[^'\\\n\r]|\\(?:[uUx][0-9a-fA-F]+|.))'",
@@ -43,7 +43,7 @@ _COMMENTS = {k: _C_COMMENT for k in ("javascript", "typescript", "java", "csharp
 _COMMENTS["csharp"] += r"|^[ \t]*\#[ \t]*(?:region|endregion|if|elif|else|endif|pragma|define|undef|nullable|line|warning|error)\b[^\n\r]*"
 for _js in ("javascript", "typescript"):
     _COMMENTS[_js] += r"|\A#![^\n\r]*"
-_WORDS = {k: _WORD for k in _OPS} | {k: r"\#?[^\W\d]?[$\w]+|\$" for k in ()}
+_WORDS = {k: _WORD for k in _OPS}
 _WORDS["javascript"] = _WORDS["typescript"] = r"\#?(?:[^\W\d]|\$)[\w$]*"
 _WORDS["java"] = r"(?:[^\W\d]|\$)[\w$]*"
 _WORDS["csharp"] = r"@?[^\W\d]\w*"
@@ -65,9 +65,9 @@ STATES = {
     "python": (CODE, LINE, '"', "'", '"""', "'''"),
     "javascript": (CODE, IN_TEMPLATE, LINE, BLOCK, '"', "'", "`"),
     "typescript": (CODE, IN_TEMPLATE, LINE, BLOCK, '"', "'", "`"),
-    "java": (CODE, LINE, BLOCK, '"', '"""'),
-    "go": (CODE, LINE, BLOCK, '"', "`"),
-    "csharp": (CODE, LINE, BLOCK, '"', '"""', '@"'),
+    "java": (CODE, LINE, BLOCK, '"', "'", '"""'),
+    "go": (CODE, LINE, BLOCK, '"', "'", "`"),
+    "csharp": (CODE, LINE, BLOCK, '"', "'", '"""', '@"'),
 }
 _OPENERS = {
     "python": r"\"\"\"|'''|[\"']", "javascript": r"/\*|[\"'`]", "typescript": r"/\*|[\"'`]", "java": r"/\*|\"\"\"|[\"']", "csharp": r"/\*|\"\"\"|\$?@\$?\"|[\"']", "go": r"/\*|[\"'`]",
