@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.lexing import language_of
+from graphloom.ingest.lexing import language_of
 from graphloom.llm.origin import marks
 from graphloom.llm.sources import files_once, per_file, text_of
 from graphloom.runtime import cut

@@ -7,8 +7,8 @@ from typing import NamedTuple
 
 import xxhash
 
-from graphloom.llm.functions import functions
-from graphloom.llm.lexing import lex
+from graphloom.ingest.declarations import functions
+from graphloom.ingest.lexing import lex
 
 #: Folders of copies of other projects, and of output of generators.
 VENDOR_DIRS = frozenset("vendor third_party third-party thirdparty 3rdparty node_modules bower_components jspm_packages _vendor _vendored vendored extern externals deps site-packages Godeps".split())

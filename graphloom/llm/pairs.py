@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import clean_id, hashed, node_type
-from graphloom.llm.functions import functions, plain, says_something, sniff
-from graphloom.llm.lexing import language_of
+from graphloom.ingest.declarations import functions, sniff
+from graphloom.llm.statements import plain, says_something
+from graphloom.ingest.lexing import language_of
 from graphloom.llm.sources import files_once, per_file, text_of
 
 

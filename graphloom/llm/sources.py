@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.lexing import decode
+from graphloom.ingest.lexing import decode
 from graphloom.runtime import task_count
 
 
