@@ -70,7 +70,7 @@ STATES = {
     "csharp": (CODE, LINE, BLOCK, '"', "'", '"""', '@"'),
 }
 _OPENERS = {
-    "python": r"\"\"\"|'''|[\"']", "javascript": r"/\*|[\"'`]", "typescript": r"/\*|[\"'`]", "java": r"/\*|\"\"\"|[\"']", "csharp": r"/\*|\"\"\"|\$?@\$?\"|[\"']", "go": r"/\*|[\"'`]",
+    "python": r"\"\"\"|'''|[\"']", "javascript": r"/\*|[\"'`]", "typescript": r"/\*|[\"'`]", "java": r"/\*|\"\"\"|[\"']", "csharp": r"/\*|\"\"\"|[$@]*\"|'", "go": r"/\*|[\"'`]",
 }
 #: Words after which a slash begins a regular expression.
 _BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
@@ -153,14 +153,14 @@ def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, i
                         return out, "`"
                     again = True
                     break
-                if t in ('"', "'"):
+                if t == "'" or t.endswith('"') and t != '"""' and "@" not in t:
                     end = re.compile(r"[\n\r]|\Z").search(text, m.end()).start()
                     if end == n:
-                        return out, t
+                        return out, t[-1]
                     out.append(("e", m.start(), end))
                     pos, again = end, True
                     break
-                return out, '@"' if t.endswith('@"') or t == '$@"' or t == '@$"' else t
+                return out, '@"' if "@" in t else t
             else:
                 out.append((k, m.start(), m.end()))
         if not again:
