@@ -51,8 +51,9 @@ def _unstable() -> re.Pattern:
     what stands before. A segment is a run of others with the stable one before it.
     """
     points, start = [], None
-    for o in range(0x80, 0x110001):
-        c = chr(o) if o < 0x110000 and not 0xD800 <= o < 0xE000 else ""
+    spans = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))  # elsewhere are only ideographs, syllables and free points
+    for o in (o for a, z in spans for o in range(a, z + 1)):
+        c = chr(o) if all(o != z for _, z in spans) else ""
         # NFC_Quick_Check is Maybe or No for combining marks and the later letters of a syllable
         bad = bool(c) and (ud.combining(c) != 0 or 0x1161 <= o <= 0x1175 or 0x11A8 <= o <= 0x11C2 or ud.normalize("NFC", _letter(c)) != c)
         if bad and start is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.keys import hashed
 from graphloom.llm.canonical import canonical
-from graphloom.runtime import task_count
+from graphloom.runtime import cut, task_count
 
 
 def canonical_texts(docs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def same_look_classes(docs: DataFrame) -> DataFrame:
     Exact copies are members of their text, so a text that a third of all documents repeat costs
     its rows once and no pairs.
     """
-    k = _keys(docs)
+    k = cut(_keys(docs))
     texts = k.groupBy("f1", "f2", "x1", "x2").agg(F.min("doc_id").alias("text_id"))
     classes = texts.groupBy("f1", "f2").agg(F.min("text_id").alias("class_id"), F.count("*").alias("n_texts")).where("n_texts > 1").drop("n_texts")
     return k.join(classes, ["f1", "f2"]).join(texts.join(classes.select("f1", "f2"), ["f1", "f2"], "left_semi"), ["f1", "f2", "x1", "x2"]).select("doc_id", "class_id", "text_id")
@@ -64,7 +64,7 @@ def same_look_pairs(docs: DataFrame) -> DataFrame:
     Only classes of several different texts are joined, on the digest of the form; the rows are
     as many as the result has. A doc_id that occurs twice with one text counts once.
     """
-    k = _keys(docs).distinct()
+    k = cut(_keys(docs).distinct())
     several = k.groupBy("f1", "f2").agg(F.min(F.struct("x1", "x2")).alias("a"), F.max(F.struct("x1", "x2")).alias("z")).where("a <> z").select("f1", "f2")
     m = k.join(several, ["f1", "f2"], "left_semi")
     a = m.select("f1", "f2", F.col("doc_id").alias("doc_id_a"), F.col("x1").alias("p1"), F.col("x2").alias("p2"))
