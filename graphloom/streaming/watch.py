@@ -41,8 +41,8 @@ def follow_files(spark: SparkSession, source: str, graph: str, checkpoint: str,
 
 def edge_counts(spark: SparkSession, source: str, late: str = "30 days", window: str = "1 day") -> DataFrame:
     """Stream of edges per type and window of their time: redelivered edges once, late ones within the watermark."""
-    schema = "id string, type string, source string, target string, confidence double, indexed_at timestamp, loaded_at timestamp"
-    e = spark.readStream.schema(schema).parquet(source).where(clean_id(F.col("target")).isNotNull())
+    schema = "id string, type string, source string, target string, confidence double, indexed_at timestamp_ntz, loaded_at timestamp_ntz"
+    e = spark.readStream.schema(schema).parquet(source).where(clean_id(F.col("target")).isNotNull()).withColumn("indexed_at", F.col("indexed_at").cast("timestamp"))
     once = e.withWatermark("indexed_at", late).dropDuplicatesWithinWatermark(["id"])
     return once.groupBy(F.window("indexed_at", window), edge_type(F.col("type")).alias("type")).agg(F.count("*").alias("n"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from graphloom.ingest.build import build_graph
 from graphloom.ingest.extract import extract, fingerprint, routes
 from graphloom.sources.tables import read_graph, read_graph_json, scan_tree, write_graph
-from graphloom.streaming.watch import FILE_SCHEMA, follow_files
-from tests.helpers import T0
+from graphloom.streaming.watch import FILE_SCHEMA, edge_counts, follow_files, removed_since
+from tests.helpers import EDGE, T0, edge
 
 APP = '''
 from lib.store import Store, save as keep
@@ -119,3 +119,16 @@ def test_scan_and_json(spark, tmp_path):
     assert (n.first()["id"], e.first()["confidence"]) == ("a", 0.5)
     write_graph(n, e, str(tmp_path / "out"))
     assert read_graph(spark, str(tmp_path / "out"))[1].select(F.col("target")).first()[0] == "b"
+
+
+def test_edge_stream_counts_redelivered_edges_once(spark, tmp_path):
+    rows = [edge("1", "a", "b"), edge("1", "a", "b"), edge("2", "a", "b", "Call"), edge("3", "a", None)]
+    spark.createDataFrame(rows, EDGE).write.parquet(str(tmp_path / "edges"))
+    q = edge_counts(spark, str(tmp_path / "edges")).writeStream.outputMode("complete").format("memory").queryName("edge_counts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["type"], r["n"]) for r in spark.table("edge_counts").collect()] == [("calls", 2)]
+
+
+def test_removed_files(spark):
+    old, new = (spark.createDataFrame([(p,) for p in x], "file_path string") for x in (["a", "b", "a"], ["b"]))
+    assert [r["file_path"] for r in removed_since(old, new).collect()] == ["a"]
