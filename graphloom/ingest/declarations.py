@@ -22,6 +22,7 @@ _MODIFIERS = frozenset("export default async const let var declare abstract publ
 _CLASSES = {"java": {"class", "interface", "enum", "record"}, "csharp": {"class", "struct", "interface", "enum", "record"}, "javascript": {"class"}, "typescript": {"class"}}
 _NO_METHOD = frozenset("if for while switch catch return new throw else do try synchronized using lock foreach fixed await super this typeof sizeof nameof function".split())
 _BREAK = re.compile(r"\r\n|\r|\n")
+_CONFLICT = re.compile(r"(?m)^(?:<{7}|>{7}|={7}|\|{7})(?: [^\n]*)?\n")
 
 
 def functions(text: str, lang: str) -> Iterator[Function]:
@@ -284,7 +285,7 @@ def _doc_above(text: str, tokens: list, start: int, lang: str) -> str | None:
     found: list[str] = []
     while i >= 0 and tokens[i][0] == "c":
         _, a, z = tokens[i]
-        if len(_BREAK.findall(text, z, below)) > 1:
+        if len(_BREAK.findall(_CONFLICT.sub("", text[z:below]))) > 1:
             break
         s = text[a:z]
         if lang in ("java", "javascript", "typescript"):

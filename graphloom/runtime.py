@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
+    if not sc.master.startswith("local") and not sc.getConf().get("spark.checkpoint.dir", None):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
