@@ -13,12 +13,14 @@ EMPTY_WORDS = frozenset(
     return returns returned raises throws type rtype value implement implemented implementation some text""".split()
 )
 _POINTER = re.compile(r"(?i)^\W*(?:(?:please )?(?:see|refer to|cf|same as|as in|identical to|documented (?:in|at)|described (?:in|at)|inherited|inherits|overrides?|copied from|delegates to|documentation (?:is )?(?:in|at))\b)[^.!?。]*(?:[.!?](?=\w)[^.!?。]*)*[.!?。]?\s*$")
+_CONFLICT = re.compile(r"(?m)^(?:<{7}|>{7}|={7}|\|{7})(?: [^\n]*)?$")
 _PARTS = re.compile(r"[^\W\d_]+|\d+")
 _HUMPS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_a-zA-Z]+")
 
 
 def plain(doc: str) -> str:
     """The text of a documentation comment without markers, tags and parameter names."""
+    doc = _CONFLICT.sub("", doc)
     s = re.sub(r"\A[rRuU]*(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')\Z", "", doc) if doc[:1] in "rRuU\"'" else doc
     s = re.sub(r"(?m)^[ \t]*(?:/\*+|///?|\*+(?!/))|\*+/[ \t]*$", " ", s)
     s = re.sub(r"<(?:param|typeparam|paramref|typeparamref)\b[^>]*>|</?[a-zA-Z][^<>]*>", " ", s)

@@ -37,13 +37,14 @@ SOURCE = {
     "r/A.java": "class A {\n  /** Never blocks. */\n  @Override\n  public int m(int a) { return 1; }\n  // Never blocks.\n  int n() { return 1; }\n}\n",
     "r/a.go": "package p\n\n// F never blocks.\nfunc F() {}\n\n// G never blocks.\n\nfunc G() {}\n\n/*\nNever blocks.\n*/\nfunc (t *T) H() {}\n",
     "r/A.cs": "class A {\n  /// <summary>\n  /// Never blocks.\n  /// </summary>\n  [Obsolete]\n  public int M() { return 1; }\n  /** Never blocks. */\n  int N() { return 1; }\n}\n",
+    "r/merge.ts": "/** Never blocks. */\n=======\nfunction f() {}\n/**\n * TODO\n<<<<<<< HEAD\n */\nfunction g() {}\n",
     "r/wrong.js": "package p\n\n// F never blocks.\nfunc F(a int) int { return 1 }\n", "r/none.py": None, "r/empty.go": "",
 }
-WANT = {"r/a.py::A.m", "r/a.py::g", "r/a.py::h", "r/a.ts::f", "r/a.ts::C.m", "r/A.java::A.m", "r/a.go::F", "r/a.go::T.H", "r/A.cs::A.M", "r/wrong.js::F"}
+WANT = {"r/a.py::A.m", "r/a.py::g", "r/a.py::h", "r/a.ts::f", "r/a.ts::C.m", "r/A.java::A.m", "r/a.go::F", "r/a.go::T.H", "r/A.cs::A.M", "r/wrong.js::F", "r/merge.ts::f"}
 
 
 def test_pairs(spark):
-    every = [f"r/a.py::{x}" for x in ("A.m", "A.n", "f", "g", "h")] + [f"r/a.ts::{x}" for x in ("f", "g", "h", "C.m")] + ["r/A.java::A.m", "r/A.java::A.n", "r/a.go::F", "r/a.go::G", "r/a.go::T.H", "r/A.cs::A.M", "r/A.cs::A.N", "r/wrong.js::F"]
+    every = [f"r/a.py::{x}" for x in ("A.m", "A.n", "f", "g", "h")] + [f"r/a.ts::{x}" for x in ("f", "g", "h", "C.m")] + ["r/A.java::A.m", "r/A.java::A.n", "r/a.go::F", "r/a.go::G", "r/a.go::T.H", "r/A.cs::A.M", "r/A.cs::A.N", "r/wrong.js::F", "r/merge.ts::f", "r/merge.ts::g"]
     nodes = spark.createDataFrame([node(i, k) for i in every for k in ("func", "METHOD")] + [node("r/a.py::A", "class"), node(None)], NODE)
     f = files(spark, SOURCE)
     assert {r["node_id"] for r in documented(f, nodes).collect()} == WANT
