@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from graphloom.functions import dims
 from graphloom.ingest.extract import extract, fingerprint
 from graphloom.ingest.lexing import language_of
-from graphloom.runtime import cut, task_count
+from graphloom.runtime import cut, portable, task_count
 
 FACTS = (
     "record string, file_path string, repo_id string, id string, type string, name string, qualified_name string, line_start int, line_end int, signature string, docstring string, tags array<string>, "
@@ -33,7 +33,7 @@ def _arrow(df: DataFrame, rows, schema: str, *columns: str) -> DataFrame:
             cols = list(zip(*made)) if made else [()] * len(target)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
-    return df.select(*columns).mapInArrow(work, schema)
+    return df.select(*columns).mapInArrow(portable(work), schema)
 
 
 def latest_files(files: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def current_nodes(nodes: DataFrame, external: DataFrame | None = None) -> DataFr
         F.least("location.line_start", "location.line_end").alias("line_start"), F.greatest("location.line_start", "location.line_end").alias("line_end"),
         "signature", "docstring", "code_preview", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "repo_id", "indexed_at", "removed_at",
     ).where("id is not null")
-    order = [F.col("indexed_at").desc_nulls_last(), F.col("removed_at").desc_nulls_first()] + [F.col(c).asc_nulls_last() for c in ("type", "file_path", "language_id", "docstring", "signature", "code_preview", "name", "qualified_name", "module")] + [F.array_join("tags", ",")]
+    order = [F.col("indexed_at").desc_nulls_last(), F.col("removed_at").desc_nulls_first()] + [F.col(c).asc_nulls_last() for c in ("type", "file_path", "language_id", "docstring", "signature", "code_preview", "name", "qualified_name", "module", "line_start", "line_end")] + [F.array_join("tags", ",")]
     last = seen.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("rn = 1 and removed_at is null").drop("rn", "removed_at", "indexed_at")
     if external is None:
         return last

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
+from graphloom.runtime import cut, portable, task_count
 
 K1, B = 1.2, 0.75
 FUZZY_BELOW = 0.4
@@ -64,9 +65,18 @@ def bm25(index: DataFrame, queries: list[str], k: int = 10) -> DataFrame:
     return top(by_query, k, F.desc("score"), F.asc("id"))
 
 
-def _ratio(query: pd.Series, name: pd.Series) -> pd.Series:
+def _similarity(query: pd.Series, name: pd.Series) -> pd.Series:
+    """Similarity by matching blocks; 0 where cheap upper bounds already lie below FUZZY_BELOW."""
     squeeze = lambda s: "".join(c for c in s.lower() if c.isalnum())
-    return pd.Series([0.2 + 0.4 * difflib.SequenceMatcher(None, squeeze(q), squeeze(n or "")).ratio() for q, n in zip(query, name)])
+    least = (FUZZY_BELOW - 0.2) / 0.4
+    matchers = {q: difflib.SequenceMatcher(None, squeeze(q), "") for q in query.unique()}
+    out = []
+    for q, n in zip(query, name):
+        m = matchers[q]
+        m.set_seq2(squeeze(n or ""))
+        near = m.real_quick_ratio() >= least and m.quick_ratio() >= least
+        out.append(0.2 + 0.4 * m.ratio() if near else 0.0)
+    return pd.Series(out, dtype=float)
 
 
 def multi_pass(nodes: DataFrame, queries: list[str], k: int = 20, min_score: float = 0.2, fuzzy: bool = True) -> DataFrame:
@@ -91,9 +101,9 @@ def multi_pass(nodes: DataFrame, queries: list[str], k: int = 20, min_score: flo
         best = {r["query"]: r["best"] for r in hits.groupBy("query").agg(F.max("score").alias("best")).collect()}  # a row per query
         weak = [q for q in queries if best.get(q, 0.0) < FUZZY_BELOW]
         if weak:
-            ratio = F.pandas_udf(_ratio, "double")
-            names = nodes.select("name").where("name is not null").distinct().withColumn("query", F.explode(F.array(*map(F.lit, weak)))).withColumn("score", ratio("query", "name")).where(F.col("score") >= FUZZY_BELOW)
-            near = nodes.join(names, "name").withColumn("q", F.lower("query")).withColumn("exact", F.lit(99))
+            ratio = F.pandas_udf(portable(_similarity, "series"), "double")
+            names = nodes.select("name").where("name is not null").distinct().repartition(task_count(nodes.sparkSession), "name").withColumn("query", F.explode(F.array(*map(F.lit, weak)))).withColumn("score", ratio("query", "name")).where(F.col("score") >= FUZZY_BELOW)
+            near = nodes.join(cut(names), "name").withColumn("q", F.lower("query")).withColumn("exact", F.lit(99))
             hits = hits.unionByName(near.select(*hits.columns))
     test, external = dims.is_test_path(F.col("file_path")), F.col("type") == "external_symbol"
     about_tests = F.col("query").isin([q for q in queries if dims.has_test_intent(q)] or [""])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import hashed
+from graphloom.runtime import portable
 
 _SORT = ["k1", "k2", "s1", "s2", "e1"]
 _PARTIAL = "piece_part int, piece_no int, k1 bigint, k2 bigint, target string, type string, n bigint, n_conf bigint, sum_conf double, n_src bigint, first1 bigint, first2 bigint, last1 bigint, last2 bigint"
@@ -98,5 +99,5 @@ def balanced_group_stats(records: DataFrame, key: list[Column], source: Column,
     src = [F.when(F.col("src").isNull(), F.lit(0)).otherwise(h).cast("bigint").alias(f"s{i}") for i, h in enumerate((F.xxhash64("src"), F.xxhash64(F.lit(1), "src")), 1)]
     keyed = flat.select(*hashed("k", *k), *src, F.xxhash64("rid").alias("e1"), "conf", "at", "target", "type")
     sorted_rows = keyed.repartitionByRange(*_SORT).sortWithinPartitions(*_SORT, F.col("at").desc_nulls_last(), F.col("conf").desc_nulls_last()).drop("at")
-    done = stitch(sorted_rows.mapInArrow(_partial_states, _PARTIAL))
+    done = stitch(sorted_rows.mapInArrow(portable(_partial_states), _PARTIAL))
     return done.select("target", "type", "n_edges", "n_sources", F.when(F.col("n_conf") > 0, F.round(F.col("sum_conf") / F.col("n_conf"), 6)).alias("mean_confidence"))

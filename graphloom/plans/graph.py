@@ -68,7 +68,7 @@ raw_nodes as (
   select {_sql_id("id")} id, {_SQL_NODE_TYPE("type")} as type, name, {_SQL_PATH("file_path")} file_path, module, qualified_name, {_L} language_id,
     least(location.line_start, location.line_end) line_start, greatest(location.line_start, location.line_end) line_end, signature, docstring, code_preview, coalesce(tags, []) tags, repo_id, indexed_at, removed_at from nodes),
 n as (
-  select * exclude (indexed_at, removed_at, rn) from (select *, row_number() over (partition by id order by indexed_at desc nulls last, removed_at desc nulls first, type nulls last, file_path nulls last, language_id nulls last, docstring nulls last, signature nulls last, code_preview nulls last, name nulls last, qualified_name nulls last, module nulls last, array_to_string(tags, ',')) rn
+  select * exclude (indexed_at, removed_at, rn) from (select *, row_number() over (partition by id order by indexed_at desc nulls last, removed_at desc nulls first, type nulls last, file_path nulls last, language_id nulls last, docstring nulls last, signature nulls last, code_preview nulls last, name nulls last, qualified_name nulls last, module nulls last, line_start nulls last, line_end nulls last, array_to_string(tags, ',')) rn
     from raw_nodes where id is not null) where rn = 1 and removed_at is null
   union all
   select id, 'external_symbol', name, null, null, qualified_name, null, null, null, null, null, null, [], null from (
@@ -391,7 +391,7 @@ ORACLE: dict[str, str] = {
     )
     + ", near as (select root_id, id from reach union select root_id, id from reach_0) select s.root_id, e.source, e.target, e.type from e join near s on s.id = e.source join near t on t.id = e.target and t.root_id = s.root_id",
     "file_overview": N + "select file_path, count_if(type not in ('file', 'module'))::bigint n_symbols, count_if(type in ('function', 'method'))::bigint n_functions, count_if(type = 'class')::bigint n_classes, count_if(type = 'test')::bigint n_tests, max(language_id) as language from n where file_path is not null group by file_path",
-    "cross_file_edges": NE + "select s.file_path source_file, t.file_path target_file, count(*) n_edges from e join n s on s.id = e.source join n t on t.id = e.target where s.file_path <> t.file_path group by all",
+    "cross_file_edges": NE + ", x as materialized (select e.target, s.file_path source_file from e join n s on s.id = e.source where s.file_path is not null) select source_file, t.file_path target_file, count(*) n_edges from x join n t on t.id = x.target where t.file_path is not null group by all having source_file <> target_file",
     "entry_points_topk": NE
     + f"""select id, name, type, degree from (select id, count(*) degree from (select source id from e union all select target from e) group by id) join n using (id)
   where type not in ('test', 'file', 'module', 'external_symbol') and not {_TEST()} and not coalesce(name in ('__init__', 'constructor'), false)

@@ -61,3 +61,47 @@ def task_count(spark: SparkSession, per_core: int = 4) -> int:
     size; a larger spark.sql.shuffle.partitions raises it on larger inputs.
     """
     return max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def portable(work, kind: str = "batches"):
+    """A function for Python workers that need not find this package by themselves.
+
+    Workers get their path from the environment in which the JVM was started. The function is
+    pickled as it is, inside of one that first adds the place of the package here to the path;
+    where the package is installed on the workers that place is only a last resort.
+    """
+    from pyspark import cloudpickle
+
+    blob, root = cloudpickle.dumps(work), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+    def restored():
+        import pickle
+        import sys
+
+        if root not in sys.path:
+            sys.path.append(root)
+        return pickle.loads(blob)
+
+    if kind == "batches":
+
+        def run(batches):
+            yield from restored()(batches)
+    elif kind == "frame":
+
+        def run(pdf):
+            return restored()(pdf)
+    elif kind == "keyed":
+
+        def run(key, pdf):
+            return restored()(key, pdf)
+    else:
+
+        def run(a, b):
+            return restored()(a, b)
+
+    restored.__module__ = run.__module__ = "__main__"  # pickled by value
+    if kind == "series":
+        import pandas as pd
+
+        run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return run
