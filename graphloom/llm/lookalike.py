@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.keys import hashed
 from graphloom.llm.canonical import canonical
-from graphloom.runtime import cut, task_count
+from graphloom.runtime import cut, portable, task_count
 
 
 def canonical_texts(docs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text", "form"])
 
-    return docs.select("doc_id", "text").repartition(task_count(docs.sparkSession), "doc_id").mapInArrow(work, "doc_id bigint, text string, form string")
+    return docs.select("doc_id", "text").repartition(task_count(docs.sparkSession), "doc_id").mapInArrow(portable(work), "doc_id bigint, text string, form string")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def _keys(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "f1", "f2", "x1", "x2"])
 
-    return docs.select("doc_id", "text").repartition(task_count(docs.sparkSession), "doc_id").mapInArrow(work, "doc_id bigint, f1 bigint, f2 bigint, x1 bigint, x2 bigint")
+    return docs.select("doc_id", "text").repartition(task_count(docs.sparkSession), "doc_id").mapInArrow(portable(work), "doc_id bigint, f1 bigint, f2 bigint, x1 bigint, x2 bigint")
 
 
 def same_look_classes(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.ingest.lexing import decode
-from graphloom.runtime import task_count
+from graphloom.runtime import portable, task_count
 
 
 def files_once(files: DataFrame, *keep: str) -> DataFrame:
@@ -48,4 +48,4 @@ def per_file(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *
             cols = list(zip(*made)) if made else [()] * len(target)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
-    return df.select(*columns).mapInArrow(work, schema)
+    return df.select(*columns).mapInArrow(portable(work), schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import load
-from graphloom.runtime import task_count
+from graphloom.runtime import portable, task_count
 
 VOCABULARY = os.path.join(os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
@@ -43,7 +43,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             flat = pa.array([i for x in ids for i in x], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
 
-    return _spread(docs, "doc_id", "text").mapInArrow(work, "doc_id bigint, ids array<int>")
+    return _spread(docs, "doc_id", "text").mapInArrow(portable(work), "doc_id bigint, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
-    return _spread(docs, "doc_id", "source", "text").mapInArrow(work, "doc_id bigint, source string, n_tokens bigint")
+    return _spread(docs, "doc_id", "source", "text").mapInArrow(portable(work), "doc_id bigint, source string, n_tokens bigint")
 
 
 def token_stats(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
