@@ -60,11 +60,13 @@ _END = {
     "'''": re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*'''"),
     "`": re.compile(r"[^`]*`"),
     '@"': re.compile(r'(?:[^"]|"")*"(?!")'),
+    "/": re.compile(r"(?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])*(?:/[a-z]*|(?=[\n\r]))"),
+    "/[": re.compile(r"(?:[^\]\\\n\r]|\\.)*(?:\](?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])*(?:/[a-z]*|(?=[\n\r]))|(?=[\n\r]))"),
 }
 STATES = {
     "python": (CODE, LINE, '"', "'", '"""', "'''"),
-    "javascript": (CODE, IN_TEMPLATE, LINE, BLOCK, '"', "'", "`"),
-    "typescript": (CODE, IN_TEMPLATE, LINE, BLOCK, '"', "'", "`"),
+    "javascript": (CODE, IN_TEMPLATE, LINE, BLOCK, '"', "'", "`", "/", "/["),
+    "typescript": (CODE, IN_TEMPLATE, LINE, BLOCK, '"', "'", "`", "/", "/["),
     "java": (CODE, LINE, BLOCK, '"', "'", '"""'),
     "go": (CODE, LINE, BLOCK, '"', "'", "`"),
     "csharp": (CODE, LINE, BLOCK, '"', "'", '"""', '@"'),
@@ -114,7 +116,7 @@ def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, i
         else:
             m = _END[state].match(text)
             if not m:
-                return out, state
+                return out, _in_regex(text, state == "/[") if state in ("/", "/[") else state
             pos = m.end()
             if state in ('"', "'") and text[pos - 1 : pos] != state:
                 out.append(("e", pos, pos))
@@ -133,6 +135,8 @@ def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, i
                                 out.append(("r", m.start(), r.end()))
                                 pos, again = r.end(), True
                                 break
+                            if not re.search(r"[\n\r]", text[m.end() :]):  # it goes on behind the text
+                                return out, _in_regex(text[m.start() + 1 :], False)
                     elif t == "{":
                         stack.append("{")
                     elif t == "}" and stack:
@@ -170,6 +174,13 @@ def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, i
     return out, IN_TEMPLATE if "${" in stack else CODE
 
 
+def _in_regex(text: str, in_class: bool) -> str:
+    """The state at the end of a text that lies within a regular expression."""
+    for m in re.finditer(r"\\.|[\[\]]", text):
+        in_class = m.group() == "[" or in_class and m.group() != "]"
+    return "/[" if in_class else "/"
+
+
 def _template(text: str, pos: int, out: list, stack: list) -> int:
     """Go on in a template string: to behind its end or behind `${`; -1 if the text ends before."""
     end = _TEMPLATE.match(text, pos).end()
