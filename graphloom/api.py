@@ -10,10 +10,10 @@ from graphloom.operators import coverage, graph, impact, search, traversal, vali
 from graphloom.sources.tables import read_graph
 
 
-class CodeGraph:
+class GraphIndex:
     """Nodes and edges with the questions one asks of them; every answer is a DataFrame.
 
-    >>> g = CodeGraph.of_tables(spark, "/data")  # doctest: +SKIP
+    >>> g = GraphIndex.of_tables(spark, "/data")  # doctest: +SKIP
     >>> g.callers("src/app.py::login", depth=2).show()  # doctest: +SKIP
     """
 
@@ -21,12 +21,12 @@ class CodeGraph:
         self.nodes, self.edges, self.spark = nodes, edges, nodes.sparkSession
 
     @classmethod
-    def of_tables(cls, spark: SparkSession, folder: str) -> CodeGraph:
+    def of_tables(cls, spark: SparkSession, folder: str) -> GraphIndex:
         read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
         return cls(graph.current_nodes(read("nodes"), read("external_nodes")), graph.current_edges(read("edges")))
 
     @classmethod
-    def stored(cls, spark: SparkSession, folder: str) -> CodeGraph:
+    def stored(cls, spark: SparkSession, folder: str) -> GraphIndex:
         return cls(*read_graph(spark, folder))
 
     def _start(self, *ids: str) -> DataFrame:

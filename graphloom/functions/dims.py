@@ -62,7 +62,7 @@ MUTATION_WORDS = "save write store persist create insert update set remove delet
 
 #: Layer of a path, first match wins.
 LAYERS = (
-    ("graph", "graph/|graph_"), ("indexer", "indexer/"), ("context", "context/|evidence"), ("mcp", "mcp/|mcp_server"), ("api", "api/|routes|router"), ("service", "service"),
+    ("graph", "graph/|graph_"), ("indexer", "indexer/"), ("context", "context/|evidence"), ("api", "api/|routes|router"), ("service", "service"),
     ("storage", "store/|storage/"), ("tests", "test"), ("config", "config|settings"), ("models", "model|schema"), ("persistence", "persistence|repository"), ("indexer", "cli/|cli_"),
 )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
+from graphloom.functions.intents import INTENTS, TEST_WORDS, WRITE_WORDS, intent, pattern
 from graphloom.functions.keys import clean_path
 from graphloom.operators import reports
 from graphloom.operators.hierarchy import descendants, hierarchy
@@ -34,6 +35,7 @@ QUERIES = {
     "test_file_detection": lambda s, d: reports.test_files(table(s, d, "source_files")),
     "index_status": lambda s, d: reports.index_status(table(s, d, "source_files"), _stored(s, d)),
     "freshness": lambda s, d: reports.freshness(table(s, d, "source_files"), _stored(s, d)),
+    "task_intents": lambda s, d: table(s, d, "documents").where("text is not null").groupBy("source", intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n")),
     "visibility": lambda s, d: nodes(s, d).where("name is not null").groupBy(dims.visibility(F.col("name")).alias("visibility"), "type").agg(F.count("*").alias("n")),
 }
 _EXT = " ".join(f"when '{x}' then '{lang}'" for x, lang in dims.EXTENSIONS.items())
@@ -61,5 +63,7 @@ select anc ancestor_id, node_id descendant_id, steps from up""",
 select coalesce(f.repo_id, st.repo_id) repo_id, case when st.file_path is null then 'added' when f.file_path is null then 'deleted' when sha256(content) = st.sha256 then 'unchanged' else 'changed' end state, count(*) n_files from f full join st on f.file_path = st.file_path group by all""",
     "freshness": f"""with {_STORED_SQL}, f as (select file_path, max(modification_time) t, max(repo_id) repo_id from source_files group by file_path)
 select f.repo_id, case when st.file_path is null then 'pending' when t is null or mtime is null then 'unknown' when epoch_us(t) / 1e6 - mtime > 1 then 'edited_recently' else 'fresh' end state, count(*) n_files from f left join st on f.file_path = st.file_path group by all""",
+    "task_intents": f"""select source, case when {_matches("lower(text)", pattern(TEST_WORDS))} and {_matches("lower(text)", pattern(WRITE_WORDS))} then 'write_tests' {" ".join(f"when {_matches('lower(text)', pattern(w))} then '{n}'" for n, w in INTENTS)}
+  else 'understand_code' end intent, count(*) n from documents where text is not null group by all""",
     "visibility": N + "select case when starts_with(name, '__') then 'private' when starts_with(name, '_') then 'protected' else 'public' end visibility, type, count(*) n from n where name is not null group by all",
 }

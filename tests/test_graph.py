@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.api import CodeGraph
+from graphloom.api import GraphIndex
 from graphloom.functions import dims
 from graphloom.operators import coverage, graph, impact, incremental, search, traversal, validation
 from tests.helpers import edge, node, tables
@@ -23,7 +23,7 @@ def chain(spark):
 
 def test_callers_of_a_chain(spark):
     n, e = chain(spark)
-    g = CodeGraph(n, e)
+    g = GraphIndex(n, e)
     assert [(r["id"][-1], r["distance"]) for r in g.callers("f.py::d", 3).collect()] == [("c", 1), ("b", 2), ("a", 3)]
     assert g.callers("f.py::d", 0).count() == 0
     assert [r["id"][-1] for r in g.callees("f.py::a", 2).collect()] == ["b", "c"]
@@ -86,7 +86,7 @@ def test_class_without_calls_stands_for_its_methods(spark):
 
 def test_risk_rules(spark):
     n, e = make(spark, [node("auth/a.py::save"), node("x"), node("y"), node("z"), node("p")], [edge(c, c, "auth/a.py::save") for c in "xyz"] + [edge("9", "p", "x")])
-    g = CodeGraph(n, e)
+    g = GraphIndex(n, e)
     assert g.risk("auth/a.py::save", depth=1).first()["risk"] == "critical"
     assert g.risk("x", depth=1).first()["risk"] == "medium"
     assert g.pre_edit_check("auth/a.py").first()["risk"] == "critical"
@@ -94,7 +94,7 @@ def test_risk_rules(spark):
 
 def test_search_orders_and_misspellings(spark):
     n, e = make(spark, [node("src/a.py::login"), node("tests/test_a.py::login"), node("src/b.py::login_user"), node("src/c.py::logout")], [])
-    g = CodeGraph(n, e)
+    g = GraphIndex(n, e)
     got = [r["id"] for r in g.search("login").orderBy("rank").collect()]
     assert got[0] == "src/a.py::login" and "src/b.py::login_user" in got
     assert g.search("lgoin").where("rank = 1").first()["id"].endswith("login")
