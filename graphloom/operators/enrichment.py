@@ -10,8 +10,9 @@ MAX_SUMMARY, MAX_TAGS = 500, 10
 
 def parse_annotations(documents: DataFrame) -> DataFrame:
     """Annotations from JSON texts `{"symbol": …, "summary": …}`; what is no such object has a null symbol."""
-    j = F.from_json("text", "struct<symbol: string, summary: string>", {"mode": "PERMISSIVE"})
-    return documents.select("doc_id", j.alias("j")).select("doc_id", "j.symbol", "j.summary")
+    j = F.from_json("text", "struct<symbol: string, summary: string, broken: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    whole = documents.select("doc_id", "text", j.alias("j")).withColumn("j", F.when(F.col("j.broken").isNull() & F.col("text").rlike(r"(?s)^[ \t\r\n]*\{.*\}[ \t\r\n]*$"), F.col("j")))
+    return whole.select("doc_id", "j.symbol", "j.summary")
 
 
 def merge_annotations(nodes: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -476,6 +476,12 @@ select repo_id, n_nodes, coalesce(n_edges, 0) n_edges from (select repo_id, coun
     "enrichment_merge": N
     + r"""select id, case when d then substring(regexp_extract(docstring, '([^\n\r]*)', 1), 1, 500) end summary, array_to_string(case when d then (list_transform(tags, lambda t: lower(t)) || case when list_contains(list_transform(tags, lambda t: lower(t)), type) then [] else [type] end)[1:10] else tags end, ',') tags
   from (select *, coalesce(length(trim(docstring)), 0) > 0 d from n)""",
+    "enrichment_issues": N
+    + """select case when symbol is null then 'no_symbol' when n.id is null then 'unknown_symbol' when coalesce(length(trim(summary)), 0) = 0 then 'no_summary' when length(summary) > 500 then 'long_summary' else 'ok' end issue, count(*) n from (
+  select j ->> '$.symbol' symbol, j ->> '$.summary' summary from (select try_cast(nullif(trim(text), '') as json) j from documents where source = 'api_summary')) left join n on n.id = symbol group by all""",
+    "snippets": N
+    + r""", f as (select file_path, regexp_split_to_array(decode(content), '\r\n|\r|\n') lines from source_files qualify row_number() over (partition by file_path order by loaded_at desc nulls last) = 1)
+select id, array_to_string(lines[line_start:line_start + least(line_end - line_start + 1, 5) - 1], chr(10)) snippet from n join f using (file_path) where type in ('function', 'method') and line_start > 0 and len(lines) >= line_start""",
     "path_flags": N
     + f"""select file_path, case {" ".join(f"when {_matches('lower(file_path)', p)} then '{l}'" for l, p in dims.LAYERS)} else 'unknown' end layer, case lower(regexp_extract(file_path, '[.]([^./]+)$', 1)) {" ".join(f"when '{x}' then '{l}'" for x, l in dims.EXTENSIONS.items())} end as language,
   {_TEST()} test, {_COVTEST()} coverage_test, {_PROD()} production, {_matches("file_path", "(^|/)(" + "|".join(w.replace(".", "[.]") for w in dims.EXCLUDED_FOLDERS) + ")/")} excluded, {_WORDS("file_path", dims.SENSITIVE_WORDS)} sensitive from n where type = 'file' and file_path is not null""",
