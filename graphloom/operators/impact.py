@@ -17,7 +17,8 @@ def impact(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2
 
     A class that nothing calls and that calls nothing stands for its methods.
     """
-    nodes, edges = cut(nodes.select("id", "type", "file_path")), cut(edges)
+    edges = edges.where(F.col("type").isin(*dims.TRAVERSED)).select("source", "target", "type", "confidence", "resolution")
+    nodes, edges, starts = cut(nodes.select("id", "type", "file_path")), cut(edges), cut(starts)
     methods = nodes.where("type = 'method'").select("id", F.regexp_extract("id", r"^(.*)\.[^.:/]+$", 1).alias("root_id"))
     callers = reach(starts, steps(edges, "incoming"), depth).withColumn("relation", F.lit("caller"))
     callees = reach(starts, steps(edges, "outgoing"), depth).withColumn("relation", F.lit("callee"))

@@ -133,9 +133,8 @@ def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     n, e = nodes(spark, d), edges(spark, d)
-    inner = e.where(~F.col("target").startswith("external:"))
     starts = _starts(n, "function", "method", "class")
-    return n, e, starts, impact.impact(starts, n, inner)
+    return n, e, starts, impact.impact(starts, n, e)
 
 
 def impact_confirmed(spark: SparkSession, d: str) -> DataFrame:

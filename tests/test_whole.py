@@ -1,0 +1,21 @@
+"""Registered queries answer for the whole graph: SQL over all edges and starts, and tables of a few rows."""
+
+import pytest
+
+from graphloom.plans import graph as plans
+from tests.helpers import connect, rows
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    return connect(sf)
+
+
+def same(spark, sf, duck, name, sql):
+    ours, theirs = plans.QUERIES[name](spark, sf).toPandas(), duck.sql(sql).df()
+    assert len(ours) and rows(ours) == rows(theirs)
+
+
+@pytest.mark.parametrize("name", ["impact_confirmed", "impact_files", "impact_risk", "pre_edit_batch"])
+def test_impact_over_all_edges(spark, sf, duck, name):
+    same(spark, sf, duck, name, plans.ORACLE[name].replace(plans._INNER_E, "e as (select * from e0)"))
