@@ -113,7 +113,7 @@ def _starts(n: DataFrame, *types: str) -> DataFrame:
 
 
 def transitive_callers_d2(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.reach(_starts(nodes(spark, d), "external_symbol"), traversal.steps(edges(spark, d), "incoming"), 2).withColumn("confidence", F.round("confidence", 6))
+    return traversal.reach(nodes(spark, d).select(F.col("id").alias("root_id")), traversal.steps(edges(spark, d), "incoming"), 2).withColumn("confidence", F.round("confidence", 6))
 
 
 def transitive_callees_d2(spark: SparkSession, d: str) -> DataFrame:

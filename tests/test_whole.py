@@ -19,3 +19,7 @@ def same(spark, sf, duck, name, sql):
 @pytest.mark.parametrize("name", ["impact_confirmed", "impact_files", "impact_risk", "pre_edit_batch"])
 def test_impact_over_all_edges(spark, sf, duck, name):
     same(spark, sf, duck, name, plans.ORACLE[name].replace(plans._INNER_E, "e as (select * from e0)"))
+
+
+def test_callers_of_all_symbols(spark, sf, duck):
+    same(spark, sf, duck, "transitive_callers_d2", plans.NE + "," + plans._reach_sql("select id root_id from n", "incoming", 2) + "select root_id, id, distance, round(confidence, 6) confidence from reach")
