@@ -9,9 +9,11 @@ from graphloom.functions import dims
 from graphloom.runtime import cut
 
 
-def steps(edges: DataFrame, direction: str, types: tuple[str, ...] = dims.TRAVERSED, min_confidence: float = 0.0, follow_unresolved: bool = False) -> DataFrame:
-    """The pairs (at, to, confidence) that a traversal may take."""
-    e = edges.where(F.col("type").isin(*types) & (F.col("confidence") >= min_confidence))
+def steps(edges: DataFrame, direction: str, types: tuple[str, ...] | None = dims.TRAVERSED, min_confidence: float = 0.0, follow_unresolved: bool = False) -> DataFrame:
+    """The pairs (at, to, confidence) that a traversal may take; without types, over edges of every type."""
+    e = edges.where(F.col("confidence") >= min_confidence)
+    if types is not None:
+        e = e.where(F.col("type").isin(*types))
     if not follow_unresolved:
         e = e.where(~dims.blocks_traversal(F.col("resolution")))
     a, b = ("target", "source") if direction == "incoming" else ("source", "target")
@@ -47,12 +49,20 @@ def reach(starts: DataFrame, links: DataFrame, depth: int) -> DataFrame:
 
 
 def subgraph(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Edges whose ends both lie within `depth` steps of a start in either direction, per start."""
-    links = steps(edges, "both", tuple(sorted(set(dims.TRAVERSED) | {"references", "inherits"})), follow_unresolved=True)
-    near = reach(starts, links, depth).select("root_id", "id").unionByName(starts.select("root_id", F.col("root_id").alias("id"))).distinct()
-    e = edges.select("source", "target", "type")
-    inside = e.join(near.select("root_id", F.col("id").alias("source")), "source").join(near.select("root_id", F.col("id").alias("target")), ["root_id", "target"])
-    return inside.select("root_id", "source", "target", "type")
+    """Edges whose ends both lie within `depth` steps of a start in either direction, per start; edges of every type lead on.
+
+    Each edge is matched from the end that fewer starts have near, so a hub is not multiplied by all that refers to it.
+    """
+    links = steps(edges, "both", None, follow_unresolved=True)
+    near = cut(reach(starts, links, depth).select("root_id", "id").unionByName(starts.select("root_id", F.col("root_id").alias("id"))).distinct())
+    n = near.groupBy("id").agg(F.count("*").alias("n"))
+    e = edges.select("source", "target", "type").join(n.select(F.col("id").alias("source"), F.col("n").alias("n_source")), "source").join(n.select(F.col("id").alias("target"), F.col("n").alias("n_target")), "target")
+    e = cut(e)
+    parts = []
+    for a, b, fewer in (("source", "target", "n_source <= n_target"), ("target", "source", "n_source > n_target")):
+        at = e.where(fewer).join(near.select("root_id", F.col("id").alias(a)), a)
+        parts.append(at.join(near.select("root_id", F.col("id").alias(b)), ["root_id", b], "left_semi").select("root_id", "source", "target", "type"))
+    return parts[0].unionByName(parts[1])
 
 
 def callers_with_missing(starts: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1, min_confidence: float = dims.MEDIUM) -> DataFrame:

@@ -126,9 +126,7 @@ def callees_with_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where("type <> 'external_symbol'")
-    e = edges(spark, d).where(~F.col("source").startswith("external:") & ~F.col("target").startswith("external:"))
-    return traversal.subgraph(_starts(n, "class"), e, 1)
+    return traversal.subgraph(nodes(spark, d).select(F.col("id").alias("root_id")), edges(spark, d), 1)
 
 
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

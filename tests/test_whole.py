@@ -23,3 +23,9 @@ def test_impact_over_all_edges(spark, sf, duck, name):
 
 def test_callers_of_all_symbols(spark, sf, duck):
     same(spark, sf, duck, "transitive_callers_d2", plans.NE + "," + plans._reach_sql("select id root_id from n", "incoming", 2) + "select root_id, id, distance, round(confidence, 6) confidence from reach")
+
+
+def test_subgraphs_of_all_symbols_over_all_edges(spark, sf, duck):
+    links = "select source at_, target to_, max(confidence) confidence from (select source, target, confidence from e union all select target, source, confidence from e) group by all"
+    near = ", near as (select root_id, id from reach union select root_id, id from reach_0) select s.root_id, e.source, e.target, e.type from e join near s on s.id = e.source join near t on t.id = e.target and t.root_id = s.root_id"
+    same(spark, sf, duck, "subgraph_edges", plans.NE + "," + plans._reach_sql("select id root_id from n", "outgoing", 1, links=links) + near)
