@@ -37,7 +37,23 @@ def _below_cycles(open_rows: DataFrame, ids: DataFrame) -> DataFrame:
         image = now["image"]
 
 
-def hierarchy(pairs: DataFrame, with_paths: bool = False) -> DataFrame:
+def _above(open_rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """For nodes on a cycle or below one: k1, k2 and all that lies above, nearest first; a node on a cycle comes last in its own.
+
+    Doubling joins what lies above a pointer's end to what lies below it and keeps the first of each.
+    Once no list grows, each has passed its whole cycle.
+    """
+    names = ids.select(*hashed("k", F.col("id")), *hashed("a", F.col("up")), F.array("up").alias("above"))
+    s = cut(names.join(open_rows.select("k1", "k2"), ["k1", "k2"], "left_semi"))
+    size = -1
+    while (now := s.agg(F.sum(F.size("above"))).first()[0]) != size:
+        size = now
+        at = s.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("above").alias("more"))
+        s = cut(s.join(at, ["a1", "a2"]).select("k1", "k2", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.array_distinct(F.concat("above", "more")).alias("above")))
+    return s.select("k1", "k2", "above")
+
+
+def hierarchy(pairs: DataFrame, with_paths: bool = False, with_cycles: bool = False) -> DataFrame:
     """Root, depth and path of every id that is an end of a parent-child link.
 
     Each round joins the pointers of the unresolved nodes to the pointers of all nodes, which
@@ -51,7 +67,8 @@ def hierarchy(pairs: DataFrame, with_paths: bool = False) -> DataFrame:
     depth -1 and the smallest id on the cycle as root; its path is the node alone. No links give
     no rows.
 
-    Returns node_id, root_id, depth and, on demand, path: the ids from the root to the node.
+    Returns node_id, root_id, depth and, on demand, path: the ids from the root to the node, and
+    (with_cycles) above: for nodes on or below cycles all ids above, nearest first, else null.
     """
     ids, links = _links(pairs)
     links = links.withColumn("has_up", F.col("a1").isNotNull())
@@ -60,7 +77,7 @@ def hierarchy(pairs: DataFrame, with_paths: bool = False) -> DataFrame:
         F.coalesce("a1", "k1").alias("a1"), F.coalesce("a2", "k2").alias("a2"),
         F.col("has_up").cast("int").alias("depth"), (~F.col("has_up")).alias("done"),
     )
-    seg = []
+    seg, more = [], ["above"] if with_cycles else []
     if with_paths:
         state = state.join(ids.select(*hashed("k", F.col("id")), F.array("id").alias("path")), ["k1", "k2"])
         seg = ["path"]
@@ -83,18 +100,29 @@ def hierarchy(pairs: DataFrame, with_paths: bool = False) -> DataFrame:
         left = now
     name = ids.select(F.col("id").alias("node_id"), *hashed("k", F.col("id")))
     tops = roots.select("k1", "k2").join(name, ["k1", "k2"]).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("node_id").alias("root_id"))
-    out = resolved.join(tops, ["a1", "a2"]).select("k1", "k2", "root_id", "depth", *seg).join(name, ["k1", "k2"])
+    out = resolved.join(tops, ["a1", "a2"]).select("k1", "k2", "root_id", "depth", *seg, *[F.lit(None).cast("array<string>").alias(c) for c in more]).join(name, ["k1", "k2"])
     if now:
         round_ = _below_cycles(unresolved, ids)
-        lost = round_.join(name, ["k1", "k2"]).select("k1", "k2", F.col("smallest").alias("root_id"), F.lit(-1).alias("depth"), *[F.array("node_id").alias("path") for _ in seg], "node_id")
+        if with_cycles:
+            round_ = round_.join(_above(unresolved, ids), ["k1", "k2"])
+        lost = round_.join(name, ["k1", "k2"]).select("k1", "k2", F.col("smallest").alias("root_id"), F.lit(-1).alias("depth"), *[F.array("node_id").alias("path") for _ in seg], *more, "node_id")
         out = out.unionByName(lost)
-    return out.select("node_id", "root_id", "depth", *seg)
+    return out.select("node_id", "root_id", "depth", *seg, *more)
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """Every pair of a node and one below it with the number of steps, from hierarchy(with_paths=True)."""
+    """Every pair of a node and one below it with the number of steps, from hierarchy(with_paths=True).
+
+    With with_cycles=True also the pairs on and below cycles: a node on a cycle has the cycle's other
+    nodes and all that hangs below any of them as descendants, by the fewest steps, but not itself.
+    Without it nodes on or below cycles are in no pair as descendants.
+    """
     up = paths.where("depth > 0").select("node_id", "depth", F.posexplode("path").alias("at", "ancestor_id"))
-    return up.where("at < depth").select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("depth") - F.col("at")).alias("steps"))
+    out = up.where("at < depth").select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("depth") - F.col("at")).alias("steps"))
+    if "above" in paths.columns:
+        lost = paths.where("depth < 0").select("node_id", F.posexplode("above").alias("at", "ancestor_id")).where("ancestor_id <> node_id")
+        out = out.unionByName(lost.select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.col("at") + 1).alias("steps")))
+    return out
 
 
 def descendant_counts(paths: DataFrame) -> DataFrame:

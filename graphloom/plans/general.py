@@ -53,7 +53,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendant_counts(hierarchy(_contains(spark, sf_dir), with_paths=True))
+    return descendant_counts(hierarchy(_contains(spark, sf_dir), with_paths=True, with_cycles=True))
 
 
 def p6_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

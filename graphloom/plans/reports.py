@@ -23,7 +23,7 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(hierarchy(_contains(spark, d), with_paths=True))
+    return descendants(hierarchy(_contains(spark, d), with_paths=True, with_cycles=True))
 
 
 QUERIES = {
