@@ -65,7 +65,7 @@ def orphan_cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, roun
     A child whose parent is a direct orphan is an orphan by inheritance, so are its own children,
     and every end that refers to such a child. Each round is a semi-join of the contains edges
     with the children found in the round before; it ends when a round finds none (a cycle is
-    passed once). `rounds=0` gives the direct ones only.
+    passed once). Of edges with the same ends under several ids each counts. `rounds=0` gives the direct ones only.
 
     Null, empty and blank ids refer to nothing and give no rows. An edge without time has no alive
     end (missing or late). A record without indexed_at is never alive. Repeated rows of an edge
@@ -79,9 +79,10 @@ def orphan_cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, roun
     direct = cut(direct)
     inside = F.lower(strip(F.col("type"))).isin(spellings(("contains",), EDGE_ALIASES))
     contains = edges.where(inside).select(F.col("id").alias("edge_id"), clean_id(F.col("source")).alias("p"), clean_id(F.col("target")).alias("c")).where("p is not null and c is not null")
-    links = cut(contains.select("edge_id", *hashed("p", F.col("p")), *hashed("c", F.col("c"))).dropDuplicates(["p1", "p2", "c1", "c2"]))
+    contains = contains.select("edge_id", *hashed("p", F.col("p")), *hashed("c", F.col("c")))
+    links = cut(contains.drop("edge_id").dropDuplicates())
     found = cut(
-        links.join(direct.where("side = 'source'").select("edge_id"), "edge_id", "left_semi").select(F.col("c1").alias("r1"), F.col("c2").alias("r2"), F.lit(1).alias("hops")).dropDuplicates(["r1", "r2"])
+        contains.join(direct.where("side = 'source'").select("edge_id"), "edge_id", "left_semi").select(F.col("c1").alias("r1"), F.col("c2").alias("r2"), F.lit(1).alias("hops")).dropDuplicates(["r1", "r2"])
     )
     frontier, n, size = found, 1, found.count()
     while size and (rounds is None or n < rounds):
