@@ -21,13 +21,13 @@ def _extract(full: bool):
             return
         for language in sniff(text, lang):
             seen: set[str] = set()
+            any_ = False
             for f in functions(text, language):
-                if f.name in seen:
-                    continue
-                seen.add(f.name)
-                if says_something(f.doc, f.name, f.params):
+                any_ = True
+                if f.name not in seen and says_something(f.doc, f.name, f.params):
+                    seen.add(f.name)
                     yield (f"{path}::{f.name}", text[f.start : f.end], plain(f.doc), language) if full else (f"{path}::{f.name}",)
-            if seen:
+            if any_:
                 return
 
     return rows
@@ -46,7 +46,7 @@ def documented(files: DataFrame, nodes: DataFrame, full: bool = False) -> DataFr
     documentation is the comment of the language's kind that ends directly above (the docstring
     in Python). It counts if words remain besides the names of the function and its parameters,
     tags and words that say nothing, and if it is more than a pointer elsewhere. Of several
-    functions of one name in a file the first counts. Broken files are read as far as they go; if
+    functions of one name in a file the first with a documentation counts. Broken files are read as far as they go; if
     a file has no function in its extension's language, it is read in the one it looks like.
 
     Files that are null, empty or not UTF-8 have no functions. Nodes of other types or without id
