@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.grammar import parses, python_fits, statements_fit
+from graphloom.llm.grammar import conflict, marked_up, python_fits, statements_fit
 from graphloom.ingest.lexing import CODE, IN_TEMPLATE, LINE, STATES, brackets, join_brackets, language_of, lex
 from graphloom.llm.sources import files_once, per_file, text_of
 from graphloom.runtime import cut, portable, task_count
 
 CHUNK_CHARS = 1 << 18
+#: What tokens that no language has are called; the smaller counts before the other.
+_BAD = {"x": "conflict marker", "e": "no token"}
 _CUT = re.compile(r"[\n;{},]")
 _FRESH = re.compile(r"\s*(?:function|class|const|let|var|import|export|if|for|while|switch|interface|type|enum|func|public|private|internal|namespace|using|@|\[|\Z)")
 _PY_FRESH = re.compile(r"\n(?=(?:def|class|import|from|async|if|for|while|with|try|@|[A-Za-z_]\w* *=))")
@@ -32,13 +34,13 @@ def chunks(text: str, size: int) -> Iterator[str]:
 
 
 def state_map(text: str, lang: str, first: bool) -> dict:
-    """For each lexer state in which a chunk may be entered: the state behind it, its bracket summary, and whether it has what no language has."""
+    """For each lexer state in which a chunk may be entered: the state behind it, its bracket summary, and what it has that no language has."""
     out = {}
     for s in (CODE,) if first else STATES[lang]:
         tokens, end = lex(text, lang, s)
         if end == LINE and text.endswith("\n"):
             end = CODE
-        out[s] = (end, brackets(tokens), any(k in ("x", "e") for k, _, _ in tokens))
+        out[s] = (end, brackets(tokens), min((_BAD[k] for k, _, _ in tokens if k in _BAD), default=""))
     return out
 
 
@@ -47,7 +49,7 @@ def compose(left: dict, right: dict) -> dict:
     out = {}
     for s, (mid, b, bad) in left.items():
         end, b2, bad2 = right.get(mid, right[CODE])
-        out[s] = (end, join_brackets(tuple(b), tuple(b2)), bad or bad2)
+        out[s] = (end, join_brackets(tuple(b), tuple(b2)), min(filter(None, (bad, bad2)), default=""))
     return out
 
 
@@ -55,6 +57,16 @@ def _open(m: dict) -> str:
     return m[CODE][1][1]
 
 
+def _whole(m: dict) -> str | None:
+    """What the state map of a whole file complains of."""
+    end, (shut, opened, crossed), bad = m[CODE]
+    return "unterminated" if end not in (CODE, LINE, IN_TEMPLATE) else bad if bad else "bracket" if shut or opened or crossed else None
+
+
+def _statements(text: str, lang: str, first: bool) -> str | None:
+    return python_fits(text) if lang == "python" else statements_fit(text, lex(text, lang)[0], lang, first=first)
+
+
 def _verdicts(size: int):
     def rows(path: str, content: bytes | None) -> Iterator[tuple]:
         lang, text = language_of(path), text_of(content)
@@ -62,8 +74,10 @@ def _verdicts(size: int):
             return
         if text is None:
             yield path, lang, "encoding", None, None
+        elif path.lower().endswith((".jsx", ".tsx", ".js")) and marked_up(text):
+            yield path, lang, conflict(text), None, None
         elif len(text) <= size:
-            yield path, lang, parses(text, lang, path.lower().endswith((".jsx", ".tsx", ".js"))), None, None
+            yield path, lang, _whole(state_map(text, lang, True)) or _statements(text, lang, True), None, None
         else:
             for i, c in enumerate(chunks(text, size)):
                 yield path, lang, None, i, c
@@ -85,8 +99,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows.append((path, lang, int(no), state, opened, None))
         m = json.loads(m)
         done = m if done is None else compose(done, m)
-    end, (shut, opened, crossed), bad = done[CODE]
-    wrong = "unterminated" if end not in (CODE, LINE, IN_TEMPLATE) else "no token" if bad else "bracket" if shut or opened or crossed else None
+    wrong = _whole(done)
     if wrong:
         rows = [(path, lang, -1, None, None, wrong)]
     return pd.DataFrame(rows, columns=["file_path", "language", "no", "state", "opened", "complaint"])
@@ -136,15 +149,16 @@ def _segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["no", "part"])
     path, lang = pdf["file_path"].iloc[0], pdf["language"].iloc[0]
     text = "".join(pdf["text"])
-    wrong = python_fits(text) if lang == "python" else statements_fit(text, lex(text, lang)[0], lang, first=int(key[1]) == 0)
+    wrong = _statements(text, lang, int(key[1]) == 0)
     return pd.DataFrame([(path, lang, wrong)], columns=["file_path", "language", "complaint"])
 
 
 def check_syntax(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Whether each file is valid source of the language of its extension.
 
-    A file of up to chunk_chars is lexed and its statements parsed by local grammars at once. A
-    longer one is cut into chunks in many tasks: each gives, for every lexer state it may be
+    A file of up to chunk_chars is one chunk, judged by its state map and by the local grammars of
+    its statements. Text with markup in expressions is judged by conflict markers only, whatever its
+    length. A longer one is cut into chunks in many tasks: each gives, for every lexer state it may be
     entered in, the state behind it and a summary of its brackets; these compose associatively.
     With the state before each chunk known, statements of the top level are put together across
     chunks and each segment is parsed by itself, in any task. Python's own parser is the exact
