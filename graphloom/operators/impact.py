@@ -6,40 +6,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
-from graphloom.operators.traversal import reach, steps
+from graphloom.operators.traversal import key, named, names, reach, steps
 from graphloom.runtime import cut
 
 RISKS = ("low", "medium", "high", "critical")
 
 
-def impact(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, min_confidence: float = dims.MEDIUM) -> DataFrame:
-    """Callers and callees of each start within `depth`: confirmed or possible by the confidence of the edge that found them.
+def impact_pairs(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """Callers and callees of each start within `depth`, by the keys of their ids: root_id, id, distance, confidence, relation.
 
-    A class that nothing calls and that calls nothing stands for its methods.
+    A class that nothing calls and that calls nothing stands for its methods. Ids travel as
+    key(id), 16 bytes; named() brings them back where a result needs them.
     """
-    edges = edges.where(F.col("type").isin(*dims.TRAVERSED)).select("source", "target", "type", "confidence", "resolution")
-    nodes, edges, starts = cut(nodes.select("id", "type", "file_path")), cut(edges), cut(starts)
-    methods = nodes.where("type = 'method'").select("id", F.regexp_extract("id", r"^(.*)\.[^.:/]+$", 1).alias("root_id"))
-    callers = reach(starts, steps(edges, "incoming"), depth).withColumn("relation", F.lit("caller"))
-    callees = reach(starts, steps(edges, "outgoing"), depth).withColumn("relation", F.lit("callee"))
-    own = cut(callers.unionByName(callees))
-    silent = starts.join(nodes.where("type = 'class'").select(F.col("id").alias("root_id")), "root_id", "left_semi").join(own.select("root_id"), "root_id", "left_anti")
-    stand_in = methods.join(silent, "root_id", "left_semi")
-    stand_in = cut(stand_in)
-    roots = stand_in.select(F.col("id").alias("root_id")).distinct()
-    via = reach(roots, steps(edges, "incoming"), depth).withColumn("relation", F.lit("caller")).unionByName(reach(roots, steps(edges, "outgoing"), depth).withColumn("relation", F.lit("callee")))
+    e = cut(edges.where(F.col("type").isin(*dims.TRAVERSED)).select(key("source").alias("source"), key("target").alias("target"), "type", "confidence", "resolution"))
+    starts = cut(starts.select(key("root_id").alias("root_id"), F.col("root_id").alias("name")))
+    roots = starts.select("root_id")
+    into, out = cut(steps(e, "incoming")), cut(steps(e, "outgoing"))
+    own = [reach(roots, links, depth).withColumn("relation", F.lit(r)) for links, r in ((into, "caller"), (out, "callee"))]
+    own = own[0].unionByName(own[1])
+    classes = nodes.where("type = 'class'").select(F.col("id").alias("name"))
+    silent = starts.join(classes, "name", "left_semi").join(own.select("root_id"), "root_id", "left_anti").select("name", F.col("root_id").alias("for_id"))
+    methods = nodes.where("type = 'method'").select(key("id").alias("root_id"), F.regexp_extract("id", r"^(.*)\.[^.:/]+$", 1).alias("name"))
+    stand_in = cut(methods.join(silent, "name").select("root_id", "for_id"))
+    via = [reach(stand_in.select("root_id").distinct(), links, depth).withColumn("relation", F.lit(r)) for links, r in ((into, "caller"), (out, "callee"))]
     lifted = (
-        via.withColumnRenamed("root_id", "method")
-        .join(stand_in.withColumnRenamed("id", "method"), "method")
-        .groupBy("root_id", "id", "relation")
+        via[0].unionByName(via[1])
+        .join(stand_in, "root_id")
+        .groupBy("for_id", "id", "relation")
         .agg(F.min(F.struct(F.least(F.col("distance") + 1, F.lit(depth)).alias("distance"), (-F.col("confidence")).alias("c"))).alias("b"))
-        .select("root_id", "id", F.col("b.distance"), (-F.col("b.c")).alias("confidence"), "relation")
+        .select(F.col("for_id").alias("root_id"), "id", F.col("b.distance"), (-F.col("b.c")).alias("confidence"), "relation")
     )
-    found = own.unionByName(lifted.select(*own.columns))
+    return own.unionByName(lifted.select(*own.columns))
+
+
+def impact(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, min_confidence: float = dims.MEDIUM) -> DataFrame:
+    """impact_pairs() with ids, the type and file of what is reached, and whether the edge that found it makes it confirmed or possible."""
+    ids = names(starts.select(F.col("root_id").alias("id")), nodes.select("id"), edges.select(F.explode(F.array("source", "target")).alias("id")))
+    found = named(named(impact_pairs(starts, nodes, edges, depth), ids, "root_id"), ids, "id")
     where = nodes.select("id", F.col("type").alias("node_type"), "file_path")
     return cut(found.join(where, "id", "left").withColumn("confirmed", F.col("confidence") >= min_confidence))
 
 
+def confirmed_counts(pairs: DataFrame, starts: DataFrame, min_confidence: float = dims.MEDIUM) -> DataFrame:
+    """Confirmed and possible callers and callees of each start, from impact_pairs()."""
+    sure = F.col("confidence") >= min_confidence
+    counted = pairs.groupBy("root_id", "relation").agg(F.count_if(sure).alias("n_confirmed"), F.count_if(~sure).alias("n_possible"))
+    return named(counted, names(starts.select(F.col("root_id").alias("id"))), "root_id")
+
+
+def reached_nodes(pairs: DataFrame, starts: DataFrame, nodes: DataFrame, min_confidence: float = dims.MEDIUM) -> DataFrame:
+    """impact_pairs() with the name of the start, and type and file of what is reached; the latter stays a key."""
+    where = nodes.select(key("id").alias("id"), F.col("type").alias("node_type"), "file_path")
+    found = pairs.join(where, "id", "left").withColumn("confirmed", F.col("confidence") >= min_confidence)
+    return named(found, names(starts.select(F.col("root_id").alias("id"))), "root_id")
+
+
 def risk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
     """Risk of each start by ordered rules over its path, its tests and how many call it."""
     counted = found.where(F.col("node_type").isin(*dims.CALLABLES)).groupBy("root_id").agg(F.count_if(F.col("relation") == "caller").alias("n_callers"), F.count_if(F.col("relation") == "callee").alias("n_callees"))

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
 from graphloom.runtime import cut
 
 
+def key(c: str) -> Column:
+    """16 bytes that stand for a long id in joins and checkpoints; two of n ids share one with a probability of about n*n / 2**129."""
+    return F.unhex(F.md5(F.col(c)))
+
+
+def names(*ids: DataFrame) -> DataFrame:
+    """The ids of some tables once each, with their keys."""
+    out = ids[0].select("id")
+    for more in ids[1:]:
+        out = out.unionByName(more.select("id"))
+    return out.where("id is not null").distinct().select(key("id").alias("key_"), F.col("id").alias("name_"))
+
+
+def named(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The ids back in place of their keys."""
+    return df.join(ids.select(F.col("key_").alias(column), "name_"), column).drop(column).withColumnRenamed("name_", column)
+
+
 def steps(edges: DataFrame, direction: str, types: tuple[str, ...] | None = dims.TRAVERSED, min_confidence: float = 0.0, follow_unresolved: bool = False) -> DataFrame:
     """The pairs (at, to, confidence) that a traversal may take; without types, over edges of every type."""
     e = edges.where(F.col("confidence") >= min_confidence)
@@ -51,18 +69,24 @@ def reach(starts: DataFrame, links: DataFrame, depth: int) -> DataFrame:
 def subgraph(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Edges whose ends both lie within `depth` steps of a start in either direction, per start; edges of every type lead on.
 
-    Each edge is matched from the end that fewer starts have near, so a hub is not multiplied by all that refers to it.
+    Each edge is matched from the end that fewer starts have near, so a hub is not multiplied by
+    all that refers to it. Ids travel as keys until the end.
     """
-    links = steps(edges, "both", None, follow_unresolved=True)
-    near = cut(reach(starts, links, depth).select("root_id", "id").unionByName(starts.select("root_id", F.col("root_id").alias("id"))).distinct())
+    ids = cut(names(starts.select(F.col("root_id").alias("id")), edges.select(F.explode(F.array("source", "target")).alias("id"))))
+    e = cut(edges.select(key("source").alias("source"), key("target").alias("target"), "type", "confidence", "resolution"))
+    roots = starts.select(key("root_id").alias("root_id"))
+    near = cut(reach(roots, steps(e, "both", None, follow_unresolved=True), depth).select("root_id", "id").unionByName(roots.select("root_id", F.col("root_id").alias("id"))).distinct())
     n = near.groupBy("id").agg(F.count("*").alias("n"))
-    e = edges.select("source", "target", "type").join(n.select(F.col("id").alias("source"), F.col("n").alias("n_source")), "source").join(n.select(F.col("id").alias("target"), F.col("n").alias("n_target")), "target")
+    e = e.select("source", "target", "type").join(n.select(F.col("id").alias("source"), F.col("n").alias("n_source")), "source").join(n.select(F.col("id").alias("target"), F.col("n").alias("n_target")), "target")
     e = cut(e)
     parts = []
     for a, b, fewer in (("source", "target", "n_source <= n_target"), ("target", "source", "n_source > n_target")):
         at = e.where(fewer).join(near.select("root_id", F.col("id").alias(a)), a)
         parts.append(at.join(near.select("root_id", F.col("id").alias(b)), ["root_id", b], "left_semi").select("root_id", "source", "target", "type"))
-    return parts[0].unionByName(parts[1])
+    out = parts[0].unionByName(parts[1])
+    for c in ("root_id", "source", "target"):
+        out = named(out, ids, c)
+    return out.select("root_id", "source", "target", "type")
 
 
 def callers_with_missing(starts: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1, min_confidence: float = dims.MEDIUM) -> DataFrame:

@@ -147,6 +147,15 @@ cycle_of as (
     select start, arg_max(seen, len(seen)) seen from chase group by start) join lost on lost.id = seen[-1])
 """
 
+#: Pairs of an ancestor and a node: above nodes of trees, and above those on or below a cycle.
+_P5_PAIRS = """, up as (
+  select id node_id, up anc, 1 steps from ids where up is not null and not exists (from lost where lost.id = ids.id) union all select u.node_id, i.up, steps + 1 from up u join ids i on i.id = u.anc where i.up is not null),
+longest as (select start, arg_max(seen, len(seen)) seen from chase group by start),
+pairs as (
+  select anc ancestor_id, node_id descendant_id, steps from up
+  union all select unnest(seen[2:]), start, unnest(range(1, len(seen)))::int from longest)
+"""
+
 _P6 = f"""
 with one as (
   select id, {_sql_id("target")} target, {_sql_type("type")} as type, {_sql_id("source")} source, case when confidence is not null then least(greatest(confidence, 0), 1) end confidence
@@ -164,9 +173,9 @@ ORACLE = {
   sum((kind = 'late')::int)::bigint as late, sum((relation = 'direct')::int)::bigint as direct, sum((relation = 'inherited')::int)::bigint as inherited from orphans group by all""",
     "p5_found": _P5 + "select node_id, root_id, depth from walk union all select start, smallest, -1 from cycle_of",
     "p5_paths": _P5
-    + """, n as (select node_id, root_id, depth, path from walk union all select start, smallest, -1, start from cycle_of),
-up as (select id node_id, up anc from ids where up is not null and not exists (from lost where lost.id = ids.id) union all select u.node_id, i.up from up u join ids i on i.id = u.anc where i.up is not null)
-select n.*, coalesce(k, 0) n_descendants from n left join (select anc, count(*) k from up group by anc) on anc = node_id""",
+    + _P5_PAIRS
+    + """, n as (select node_id, root_id, depth, path from walk union all select start, smallest, -1, start from cycle_of)
+select n.*, coalesce(k, 0) n_descendants from n left join (select ancestor_id, count(*) k from pairs group by ancestor_id) on ancestor_id = node_id""",
     "p6_found": _P6 + f"select target, type from one group by all having target is not null and count(*) >= {HEAVY_SHARE} * (select count(*) from one)",
     "p6_target_stats": _P6 + "select target, type, count(*) n_edges, count(distinct source) n_sources, round(avg(confidence), 6) mean_confidence from one group by all",
 }

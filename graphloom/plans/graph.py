@@ -103,9 +103,8 @@ def _reach_sql(starts: str, direction: str, depth: int, name: str = "reach", lin
     return ",".join(parts)
 
 
-_EXT_STARTS = "select id root_id from n where type = 'external_symbol'"
+_ALL_STARTS = "select id root_id from n"
 _FN_STARTS = "select id root_id from n where type in ('function', 'method', 'class')"
-_FILE_STARTS = "select id root_id from n where type = 'class'"
 
 
 def _starts(n: DataFrame, *types: str) -> DataFrame:
@@ -129,28 +128,30 @@ def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
     return traversal.subgraph(nodes(spark, d).select(F.col("id").alias("root_id")), edges(spark, d), 1)
 
 
-def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     n, e = nodes(spark, d), edges(spark, d)
     starts = _starts(n, "function", "method", "class")
-    return n, e, starts, impact.impact(starts, n, e)
+    return n, e, starts, impact.impact_pairs(starts, n, e)
 
 
 def impact_confirmed(spark: SparkSession, d: str) -> DataFrame:
-    found = _found(spark, d)[3]
-    return found.groupBy("root_id", "relation").agg(F.count_if("confirmed").alias("n_confirmed"), F.count_if(~F.col("confirmed")).alias("n_possible"))
+    n, e, starts, pairs = _pairs(spark, d)
+    return impact.confirmed_counts(pairs, starts)
 
 
 def impact_files(spark: SparkSession, d: str) -> DataFrame:
-    return impact.impact_files(_found(spark, d)[3])
+    n, e, starts, pairs = _pairs(spark, d)
+    return impact.impact_files(impact.reached_nodes(pairs, starts, n))
 
 
 def impact_risk(spark: SparkSession, d: str) -> DataFrame:
-    n, e, starts, found = _found(spark, d)
-    return impact.risk(starts, n, e, found)
+    n, e, starts, pairs = _pairs(spark, d)
+    return impact.risk(starts, n, e, impact.reached_nodes(pairs, starts, n))
 
 
 def pre_edit_batch(spark: SparkSession, d: str) -> DataFrame:
-    n, e, starts, found = _found(spark, d)
+    n, e, starts, pairs = _pairs(spark, d)
+    found = impact.reached_nodes(pairs, starts, n)
     return impact.pre_edit(impact.risk(starts, n, e, found), found, n)
 
 
@@ -292,10 +293,8 @@ select query, rank::int as rank, id, score from (select query, id, score, row_nu
   from scored where score >= 0.2) where rank <= 20"""
 _TERMS = r"""terms as (select id, term, count(*) tf from (select id, unnest(regexp_split_to_array(lower(regexp_replace(concat_ws(' ', name, qualified_name, docstring), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) term from n) where length(term) > 1 group by all)"""
 _BM = ", ".join(f"('{q}', '{w}')" for q in SEARCHES for w in q.lower().split())
-_INNER_E = "e as (select * from e0 where not starts_with(target, 'external:'))"
 _IMPACT_PARTS = (
-    EDGES_SQL.replace("\ne as (", "\ne0 as ("),
-    _INNER_E,
+    EDGES_SQL,
     _reach_sql(_FN_STARTS, "incoming", 2, "cr"),
     _reach_sql(_FN_STARTS, "outgoing", 2, "ce"),
     """
@@ -309,7 +308,7 @@ risks as (
     when coalesce(n_callers, 0) + coalesce(n_callees, 0) > 0 then 'medium' else 'low' end risk, coalesce(n_callers, 0) n_callers, coalesce(n_callees, 0) n_callees, coalesce(n_tests, 0) n_tests
   from (select id root_id, SENS sens, coalesce(contains(lower(file_path), '/api/'), false) or type = 'route' api, MUT mut from n where type in ('function', 'method', 'class')) s
   left join (select root_id, count_if(relation = 'caller') n_callers, count_if(relation = 'callee') n_callees from found where node_type in ('function', 'method', 'class', 'test') group by root_id) c using (root_id)
-  left join (select source root_id, count(distinct target) n_tests from e0 where type = 'tested_by' group by source) t using (root_id))""".replace("SENS", _WORDS("file_path", dims.SENSITIVE_WORDS)).replace("MUT", f"({_WORDS('file_path', dims.MUTATION_WORDS)} or {_WORDS('name', dims.MUTATION_WORDS)})"),
+  left join (select source root_id, count(distinct target) n_tests from e where type = 'tested_by' group by source) t using (root_id))""".replace("SENS", _WORDS("file_path", dims.SENSITIVE_WORDS)).replace("MUT", f"({_WORDS('file_path', dims.MUTATION_WORDS)} or {_WORDS('name', dims.MUTATION_WORDS)})"),
 )
 _IMPACT = _with(NODES_SQL, *_IMPACT_PARTS)
 _BUCKETS = f"""
@@ -379,12 +378,11 @@ ORACLE: dict[str, str] = {
     select source id, target neighbor, 0 way, 'outgoing' direction, edge_id, type from e union all select target, source, 1, 'incoming', edge_id, type from e) group by id, neighbor) x left join n on n.id = x.neighbor)) group by all""",
     "confidence_levels": E + "select case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' when confidence >= 0.4 then 'low' else 'unknown' end as level, count(*) n from e group by all",
     "resolution_tiers": E + "select resolution, n, case tier when 'none' then 'unresolved' else coalesce(tier, 'unresolved') end tier, coalesce(blocks, false) blocks from (select resolution, count(*) n from e where resolution is not null group by resolution) left join res using (resolution)",
-    "transitive_callers_d2": _with(NODES_SQL, EDGES_SQL, _reach_sql(_EXT_STARTS, "incoming", 2)) + "select root_id, id, distance, round(confidence, 6) confidence from reach",
+    "transitive_callers_d2": _with(NODES_SQL, EDGES_SQL, _reach_sql(_ALL_STARTS, "incoming", 2)) + "select root_id, id, distance, round(confidence, 6) confidence from reach",
     "transitive_callees_d2": _with(NODES_SQL, EDGES_SQL, _reach_sql(_FN_STARTS, "outgoing", 2)) + "select root_id, id, distance, round(confidence, 6) confidence from reach",
     "callees_with_missing": NE + "select source root_id, target in (select id from n) known, count(distinct target) n from e where type = 'calls' and confidence >= 0.6 and source in (select id from n where type in ('function', 'method')) and source <> target group by all",
     "subgraph_edges": _with(
-        NODES_SQL, EDGES_SQL.replace("\ne as (", "\ne0 as ("), "e as (select * from e0 where not starts_with(source, 'external:') and not starts_with(target, 'external:'))",
-        _reach_sql(_FILE_STARTS, "outgoing", 1, links="select source at_, target to_, max(confidence) confidence from (select source, target, confidence, type from e union all select target, source, confidence, type from e) where type in ('calls', 'routes_to', 'depends_on', 'references', 'inherits') group by all"),
+        NODES_SQL, EDGES_SQL, _reach_sql(_ALL_STARTS, "outgoing", 1, links="select source at_, target to_, max(confidence) confidence from (select source, target, confidence from e union all select target, source, confidence from e) group by all")
     )
     + ", near as (select root_id, id from reach union select root_id, id from reach_0) select s.root_id, e.source, e.target, e.type from e join near s on s.id = e.source join near t on t.id = e.target and t.root_id = s.root_id",
     "file_overview": N + "select file_path, count_if(type not in ('file', 'module'))::bigint n_symbols, count_if(type in ('function', 'method'))::bigint n_functions, count_if(type = 'class')::bigint n_classes, count_if(type = 'test')::bigint n_tests, max(language_id) as language from n where file_path is not null group by file_path",

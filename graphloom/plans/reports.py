@@ -10,7 +10,7 @@ from graphloom.functions.intents import INTENTS, TEST_WORDS, WRITE_WORDS, intent
 from graphloom.functions.keys import clean_path
 from graphloom.operators import reports
 from graphloom.operators.hierarchy import descendants, hierarchy
-from graphloom.plans.general import _P5, _contains
+from graphloom.plans.general import _P5, _P5_PAIRS, _contains
 from graphloom.plans.graph import N, NE, _COVTEST, _SQL_PATH, _TEST, _matches, edges, nodes
 from graphloom.runtime import table
 
@@ -44,8 +44,7 @@ _STORED_SQL = f"""st as (select repo_id, {_SQL_PATH("file_path")} file_path, low
   qualify row_number() over (partition by {_SQL_PATH("file_path")} order by snapshot_no desc nulls last, loaded_at desc nulls last, mtime desc nulls last) = 1)"""
 _CALLS = "select {h} id, string_agg(other, ',' order by rn) {n} from (select *, row_number() over (partition by {h} order by c desc, other) rn from (select {h}, {t} other, max(confidence) c from e where type = 'calls' group by all)) where rn <= 5 group by {h}"
 ORACLE = {
-    "p5_descendants": _P5 + """, up as (select id node_id, up anc, 1 steps from ids where up is not null and not exists (from lost where lost.id = ids.id) union all select u.node_id, i.up, steps + 1 from up u join ids i on i.id = u.anc where i.up is not null)
-select anc ancestor_id, node_id descendant_id, steps from up""",
+    "p5_descendants": _P5 + _P5_PAIRS + "select * from pairs",
     "rank_symbols_in_file": N
     + """select file_path, rank::int as rank, id, score from (select *, row_number() over (partition by file_path order by score desc, id) rank from (select file_path, id, (case when coalesce(length(trim(docstring)), 0) > 0 then 10 else 0 end + 2 * len(tags)
   + case when starts_with(name, '_') then 0 else 3 end + case when coalesce(length(trim(signature)), 0) > 0 then 2 else 0 end)::int score from n where type not in ('file', 'module', 'external_symbol') and file_path is not null)) where rank <= 8""",
