@@ -38,6 +38,12 @@ def edge_ends(edges: DataFrame) -> DataFrame:
     return flat.select("edge_id", "side", "t", *hashed("r", F.col("ref")))
 
 
+def _earliest(ends: DataFrame, *fields: str) -> DataFrame:
+    """One row per edge and side; of rows that differ the one of the earliest time, then of the least fields."""
+    e = ends.groupBy("edge_id", "side").agg(F.min(F.struct("t", *fields)).alias("e"))
+    return e.select("edge_id", "side", "e.t", *[f"e.{c}" for c in fields])
+
+
 def direct_orphans(edges: DataFrame, nodes: DataFrame, external: DataFrame) -> DataFrame:
     """Round 0 of the cascade: ends whose id is not alive at the edge's time, with the reason.
 
@@ -54,7 +60,7 @@ def direct_orphans(edges: DataFrame, nodes: DataFrame, external: DataFrame) -> D
     known = F.col("known") | F.col("y").isNotNull()
     begun = F.col("begun") | _yes(_begun("y"))
     kind = F.when(~known, "missing").when(begun, "deleted").otherwise("late")
-    return seen.select("edge_id", "side", kind.alias("kind"), "t", "r1", "r2").dropDuplicates(["edge_id", "side"])
+    return _earliest(seen.withColumn("kind", kind), "kind", "r1", "r2")
 
 
 def orphan_cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -65,17 +71,15 @@ def orphan_cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, roun
     A child whose parent is a direct orphan is an orphan by inheritance, so are its own children,
     and every end that refers to such a child. Each round is a semi-join of the contains edges
     with the children found in the round before; it ends when a round finds none (a cycle is
-    passed once). Of edges with the same ends under several ids each counts. `rounds=0` gives the direct ones only.
+    passed once). Of edges with the same ends under several ids each counts. `rounds` stops it earlier.
 
     Null, empty and blank ids refer to nothing and give no rows. An edge without time has no alive
     end (missing or late). A record without indexed_at is never alive. Repeated rows of an edge
-    give one row. Empty tables: every end is missing; no edges give no rows.
+    give one row, at different times that of the earliest. Empty tables: every end is missing; no edges give no rows.
 
     Returns edge_id, side, kind, relation (direct, inherited), hops (0 for direct), t.
     """
     direct = direct_orphans(edges, nodes, external)
-    if rounds == 0:
-        return direct.select("edge_id", "side", "kind", F.lit("direct").alias("relation"), F.lit(0).alias("hops"), "t")
     direct = cut(direct)
     inside = F.lower(strip(F.col("type"))).isin(spellings(("contains",), EDGE_ALIASES))
     contains = edges.where(inside).select(F.col("id").alias("edge_id"), clean_id(F.col("source")).alias("p"), clean_id(F.col("target")).alias("c")).where("p is not null and c is not null")
@@ -96,7 +100,9 @@ def orphan_cascade(edges: DataFrame, nodes: DataFrame, external: DataFrame, roun
         edge_ends(edges)
         .join(found, ["r1", "r2"])
         .join(direct.select("edge_id", "side"), ["edge_id", "side"], "left_anti")
-        .dropDuplicates(["edge_id", "side"])
+    )
+    inherited = (
+        _earliest(inherited, "hops")
         .select("edge_id", "side", F.lit("inherited").alias("kind"), F.lit("inherited").alias("relation"), "hops", "t")
     )
     return direct.select("edge_id", "side", "kind", F.lit("direct").alias("relation"), F.lit(0).alias("hops"), "t").unionByName(inherited)

@@ -14,18 +14,23 @@ from graphloom.functions.keys import hashed
 from graphloom.runtime import portable
 
 _SORT = ["k1", "k2", "s1", "s2", "e1"]
-_PARTIAL = "piece_part int, piece_no int, k1 bigint, k2 bigint, target string, type string, n bigint, n_conf bigint, sum_conf double, n_src bigint, first1 bigint, first2 bigint, last1 bigint, last2 bigint"
+_PARTIAL = "piece_part int, k1 bigint, k2 bigint, target string, type string, n bigint, n_conf bigint, sum_conf double, n_src bigint, first1 bigint, first2 bigint, last1 bigint, last2 bigint"
 
 
 def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial states of runs of equal keys in one sorted partition, a few vector operations per batch.
 
-    The row before a batch is carried over, so a repeated record or source is counted once in
-    the partition; a source that goes on in the next partition is for stitch() to settle.
+    The row before a batch and the state of the key that is still open are carried over, so a
+    partition gives one state per key. A source that goes on in the next partition is for
+    stitch() to settle.
     """
     part = TaskContext.get().partitionId()
     before = None
-    for no, b in enumerate(batches):
+    pending: list | None = None  # one row of the output
+    names = ["piece_part", "k1", "k2", "target", "type", "n", "n_conf", "sum_conf", "n_src", "first1", "first2", "last1", "last2"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 5]
+    single = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+    for b in batches:
         n = b.num_rows
         if not n:
             continue
@@ -49,26 +54,37 @@ def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         end = np.append(at[1:], n) - 1
         add = lambda x, kind: np.add.reduceat(x.astype(kind), at)
         take = pa.array(at)
-        k = len(at)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(k, part, np.int32)), pa.array(np.full(k, no, np.int32)), pa.array(cols[0][at]), pa.array(cols[1][at]),
-                b.column(b.schema.get_field_index("target")).take(take), b.column(b.schema.get_field_index("type")).take(take),
-                pa.array(add(new_rec, np.int64)), pa.array(add(has, np.int64)), pa.array(add(np.where(has, conf, 0.0), float)), pa.array(add(new_src, np.int64)),
-                pa.array(cols[2][at]), pa.array(cols[3][at]), pa.array(cols[2][end]), pa.array(cols[3][end]),
-            ],
-            names=["piece_part", "piece_no", "k1", "k2", "target", "type", "n", "n_conf", "sum_conf", "n_src", "first1", "first2", "last1", "last2"],
-        )
+        label = [b.column(b.schema.get_field_index(c)).take(take) for c in ("target", "type")]
+        out = [
+            np.full(len(at), part, np.int32), cols[0][at], cols[1][at], *label, add(new_rec, np.int64), add(has, np.int64), add(np.where(has, conf, 0.0), float), add(new_src, np.int64),
+            cols[2][at], cols[3][at], cols[2][end], cols[3][end],
+        ]
+        row = lambda i: [c[i].as_py() if isinstance(c, pa.Array) else c[i] for c in out]
+        first = 0
+        if pending is not None:
+            if new_key[0]:
+                yield single(pending)
+            else:  # the open key goes on
+                head = row(0)
+                pending[5:9] = [x + y for x, y in zip(pending[5:9], head[5:9])]
+                pending[11:] = head[11:]
+                first = 1
+        if first < len(at):
+            if len(at) - 1 > first:
+                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c))[first:-1].cast(t) for c, t in zip(out, kinds)], names=names)
+            pending = row(len(at) - 1)
+    if pending is not None:
+        yield single(pending)
 
 
 def stitch(partial: DataFrame) -> DataFrame:
     """Join the partial states of a key in the order of its pieces.
 
-    A key has at most one state per partition and batch. A source that ends one partition and
-    begins the next was counted twice and is taken off once.
+    A key has at most one state per partition. A source that ends one partition and begins the
+    next was counted twice and is taken off once.
     """
-    w = Window.partitionBy("k1", "k2").orderBy("piece_part", "piece_no")
-    goes_on = (F.lag("last1").over(w) == F.col("first1")) & (F.lag("last2").over(w) == F.col("first2")) & (F.lag("piece_part").over(w) != F.col("piece_part"))
+    w = Window.partitionBy("k1", "k2").orderBy("piece_part")
+    goes_on = (F.lag("last1").over(w) == F.col("first1")) & (F.lag("last2").over(w) == F.col("first2"))
     goes_on = goes_on & ((F.col("first1") != 0) | (F.col("first2") != 0))
     return (
         partial.withColumn("twice", F.when(goes_on, 1).otherwise(0))

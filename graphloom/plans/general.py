@@ -27,12 +27,12 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_changes(spark, sf_dir).groupBy("repo_id", "snapshot_no", "change").agg(F.count("*").alias("n_files"))
 
 
-def _orphans(spark: SparkSession, sf_dir: str, rounds: int | None = None) -> DataFrame:
-    return orphan_cascade(*[table(spark, sf_dir, t) for t in ("edges", "nodes", "external_nodes")], rounds=rounds)
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_cascade(*[table(spark, sf_dir, t) for t in ("edges", "nodes", "external_nodes")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir, rounds=0).select("edge_id", "side", "kind")
+    return _orphans(spark, sf_dir).where("relation = 'direct'").select("edge_id", "side", "kind")
 
 
 def p2_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:

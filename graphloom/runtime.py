@@ -54,13 +54,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def task_count(spark: SparkSession, per_core: int = 4) -> int:
+def task_count(spark: SparkSession, df: DataFrame | None = None, per_core: int = 4, bytes_per_task: int = 32 << 20) -> int:
     """Tasks for a stage that works hard on few bytes (parsing, tokenizing).
 
-    Such a stage must not inherit the few splits of a compressed file, nor be coalesced by
-    size; a larger spark.sql.shuffle.partitions raises it on larger inputs.
+    Such a stage must not inherit the few splits of a compressed file. So there are some tasks a
+    core, and more where the input, as Spark estimates it, gives each more than bytes_per_task.
     """
-    return max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if df is not None else 0
+    if size > 1 << 50:  # Spark's guess where nothing is known
+        size = 0
+    return max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_per_task))
+
+
+def splits(df: DataFrame) -> int | None:
+    """Tasks in which a table that is only read and filtered is scanned; None where it comes from a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return None if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in enough tasks for hard work on each.
+
+    A scan that keeps all cores busy stays as it is: nothing is shuffled. One of fewer splits (a
+    few compressed files) is dealt out row by row, so that no key, null or frequent, fills a task.
+    """
+    n = splits(df)
+    if n is not None and n >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(task_count(df.sparkSession, df))
 
 
 def portable(work, kind: str = "batches"):
