@@ -11,9 +11,9 @@ import regex
 
 #: Fixed value: how the public byte-level vocabularies split a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG = 48  # bytes from which a piece goes through the transducer instead of the cache
 CACHED = 1 << 18
 FLUSH = 512
+KEPT = 64  # characters of the longest piece that is kept
 
 
 class ByteBpe:
@@ -23,6 +23,7 @@ class ByteBpe:
     token alone, encodes to itself. So the last token of every prefix follows from the last tokens
     of shorter prefixes: encode_stream() keeps these for a window of bytes. What is before a
     boundary that all prefixes within the lookahead share can no longer change and is emitted.
+    Every piece goes through it; what it gave for a piece is kept in a cache of bounded size.
 
     The lookahead that suffices is the longest token: a later byte can only change the token that
     covers the present end, which begins at most that many bytes before it.
@@ -35,6 +36,7 @@ class ByteBpe:
         self.split = regex.compile(PATTERN)
         self._cache: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._selves: dict[int, bool] = {}
         self._ends: dict | None = None
 
     def merged(self, piece: bytes) -> list[int]:
@@ -61,18 +63,24 @@ class ByteBpe:
         return got
 
     def _tokens_by_end(self) -> dict:
-        """A trie of the reversed tokens that encode to themselves; key None holds the id."""
+        """A trie of the reversed tokens; key None holds the id."""
         if self._ends is None:
             root: dict = {}
             for word, i in self.ranks.items():
-                if len(word) == 1 or self.merged(word) == [i]:
-                    node = root
-                    for byte in reversed(word):
-                        node = node.setdefault(byte, {})
-                    node[None] = i
+                node = root
+                for byte in reversed(word):
+                    node = node.setdefault(byte, {})
+                node[None] = i
             self._ends = root
         return self._ends
 
+    def _whole(self, t: int) -> bool:
+        """Whether a token encodes to itself."""
+        got = self._selves.get(t)
+        if got is None:
+            got = self._selves[t] = self.merged(self.words[t]) == [t]
+        return got
+
     def encode_stream(self, data: Iterable[int]) -> Iterator[int]:
         """Token ids of one piece, byte by byte, each as soon as it is stable."""
         root, words = self._tokens_by_end(), self.words
@@ -89,7 +97,7 @@ class ByteBpe:
                 if None in node:
                     best.append((size, node[None]))
             for size, t in reversed(best):
-                if size == n or self._fits(last[n - size], t):
+                if self._whole(t) and (size == n or self._fits(last[n - size], t)):
                     last.append(t)
                     break
             if n >= FLUSH and n % FLUSH == 0:
@@ -124,14 +132,11 @@ class ByteBpe:
     def piece(self, piece: str) -> tuple[int, ...]:
         got = self._cache.get(piece)
         if got is None:
-            data = piece.encode("utf-8", "replace")
-            whole = self.ranks.get(data)
-            if len(data) >= LONG:
-                return tuple(self.encode_stream(data))
-            got = (whole,) if whole is not None else tuple(self.merged(data))
-            if len(self._cache) > CACHED:
-                self._cache.clear()
-            self._cache[piece] = got
+            got = tuple(self.encode_stream(piece.encode("utf-8", "replace")))
+            if len(piece) <= KEPT:
+                if len(self._cache) > CACHED:
+                    self._cache.clear()
+                self._cache[piece] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:

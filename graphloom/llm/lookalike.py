@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.keys import hashed
 from graphloom.llm.canonical import canonical
-from graphloom.runtime import cut, portable, task_count
+from graphloom.runtime import cut, portable, spread
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """doc_id and text in as many tasks as the cluster has use for."""
+    return spread(docs.select("doc_id", "text"))
 
 
 def canonical_texts(docs: DataFrame) -> DataFrame:
@@ -20,7 +25,7 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text", "form"])
 
-    return docs.select("doc_id", "text").repartition(task_count(docs.sparkSession), "doc_id").mapInArrow(portable(work), "doc_id bigint, text string, form string")
+    return _spread(docs).mapInArrow(portable(work), "doc_id bigint, text string, form string")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def _keys(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "f1", "f2", "x1", "x2"])
 
-    return docs.select("doc_id", "text").repartition(task_count(docs.sparkSession), "doc_id").mapInArrow(portable(work), "doc_id bigint, f1 bigint, f2 bigint, x1 bigint, x2 bigint")
+    return _spread(docs).mapInArrow(portable(work), "doc_id bigint, f1 bigint, f2 bigint, x1 bigint, x2 bigint")
 
 
 def same_look_classes(docs: DataFrame) -> DataFrame:
@@ -61,12 +66,17 @@ def same_look_pairs(docs: DataFrame) -> DataFrame:
     """All pairs of documents whose texts differ and look the same: doc_id_a < doc_id_b.
 
     Documents without a visible character and null texts are in no pair, exact copies are none.
-    Only classes of several different texts are joined, on the digest of the form; the rows are
-    as many as the result has. A doc_id that occurs twice with one text counts once.
+    The different texts of a form are joined first; each pair of texts is then filled with the
+    documents of either side. So exact copies never meet each other, and the rows of every step
+    are at most those of the result. A doc_id that occurs twice with one text counts once.
     """
     k = cut(_keys(docs).distinct())
-    several = k.groupBy("f1", "f2").agg(F.min(F.struct("x1", "x2")).alias("a"), F.max(F.struct("x1", "x2")).alias("z")).where("a <> z").select("f1", "f2")
-    m = k.join(several, ["f1", "f2"], "left_semi")
-    a = m.select("f1", "f2", F.col("doc_id").alias("doc_id_a"), F.col("x1").alias("p1"), F.col("x2").alias("p2"))
-    b = m.select("f1", "f2", F.col("doc_id").alias("doc_id_b"), F.col("x1").alias("q1"), F.col("x2").alias("q2"))
-    return a.join(b, ["f1", "f2"]).where("doc_id_a < doc_id_b and not (p1 = q1 and p2 = q2)").select("doc_id_a", "doc_id_b").distinct()
+    texts = k.select("f1", "f2", "x1", "x2").distinct()
+    several = texts.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
+    t = cut(texts.join(several, ["f1", "f2"], "left_semi"))
+    p = t.select("f1", "f2", F.struct("x1", "x2").alias("p"))
+    pairs = p.join(p.withColumnRenamed("p", "q"), ["f1", "f2"]).where("p < q").select("p.x1", "p.x2", "q")
+    m = k.join(t, ["f1", "f2", "x1", "x2"], "left_semi").select("x1", "x2", "doc_id")
+    one = pairs.join(m.withColumnRenamed("doc_id", "i"), ["x1", "x2"]).select("i", "q.x1", "q.x2")
+    both = one.join(m.withColumnRenamed("doc_id", "j"), ["x1", "x2"]).where("i <> j")
+    return both.select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()

@@ -47,6 +47,28 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
     return out
 
 
+def shard_quotas(shards: DataFrame, goals: DataFrame, block_tokens: int) -> DataFrame:
+    """Each source's blocks given to its shards by Sainte-Lague, without a row on the driver.
+
+    `shards` has source, shard and t (tokens), `goals` source, blocks and repeats. With n shards of
+    mean share q the divisor that fills all seats differs from the plain one by at most n/2 seats
+    in all, so a shard of share s gets s give or take 1 + s / 2q seats. Only the seats in that
+    range have to be ranked by their quotients; the seats below it are certain.
+    """
+    s = shards.join(F.broadcast(goals), "source")  # a row per source
+    w = Window.partitionBy("source")
+    s = s.withColumn("share", F.col("t") / F.sum("t").over(w) * F.col("blocks")).withColumn("cap", F.floor(F.col("t") * F.col("repeats") / block_tokens))
+    s = s.withColumn("reach", F.ceil(F.lit(2) + F.col("share") / (F.lit(2) * F.greatest(F.avg("share").over(w), F.lit(1e-9)))))
+    s = s.withColumn("sure", F.least(F.col("cap"), F.greatest(F.lit(0), F.floor("share") - F.col("reach"))).cast("bigint"))
+    s = s.withColumn("open", F.col("blocks") - F.sum("sure").over(w))
+    last = F.least(F.col("cap"), F.floor("share") + F.col("reach") + 1).cast("bigint") - 1
+    seats = s.where(last >= F.col("sure")).select("source", "shard", "t", "open", F.explode(F.sequence("sure", last)).alias("seat"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.col("t") / (2 * F.col("seat") + 1)), "shard"))
+    won = seats.withColumn("rank", rank).where("rank <= open").groupBy("source", "shard").agg(F.count("*").alias("won"))
+    q = (F.col("sure") + F.coalesce("won", F.lit(0))) * block_tokens
+    return s.join(won, ["source", "shard"], "left").select("source", "shard", F.floor(q / F.col("t")).alias("rounds"), (q % F.col("t")).alias("rest"))
+
+
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, DataFrame]:
     """Choose how often each document occurs so that each source has its share of all tokens.
 
@@ -62,8 +84,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int |
     its share within max_repeats; a larger one leaves the sources at their caps. Weights of
     sources without tokens are given to the others in proportion. Null weights and repeats count
     as 0 and 1. Documents without tokens, without source or of a source without target are not
-    taken; the report has them. Of repeated rows of a doc_id one counts. Only sums per source and
-    shard come to the driver: for n documents n / shard_docs rows and the targets.
+    taken; the report has them. Of repeated rows of a doc_id one counts. What comes to the driver
+    is a row per source: the targets and the sum of its tokens.
 
     Returns (doc_id, source, n_tokens, times) of the documents taken, and the report.
     """
@@ -75,25 +97,20 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int |
     once = cut(docs.groupBy("doc_id").agg(F.max(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.*"))
     per_source = once.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     wanted = once.where(F.col("source").isin([s for s, (w, m) in goal.items() if w > 0 and m > 0]) & (F.col("n_tokens") > 0))
-    n_shards = max(1, -(-wanted.count() // shard_docs))
+    sums = {r["source"]: (r["t"], r["n"]) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
+    n_shards = max(1, -(-sum(n for _, n in sums.values()) // shard_docs))
     placed = wanted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_shards)).cast("int"))
-    sums = sorted((r["source"], r["shard"], r["t"]) for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect())
-    have: dict[str, int] = {}
-    for s, _, t in sums:
-        have[s] = have.get(s, 0) + t
-    names = sorted(have)
+    names = sorted(sums)
+    have = {s: t for s, (t, _) in sums.items()}
     weights = [goal[s][0] for s in names]
     caps = [have[s] * goal[s][1] // block_tokens for s in names]
     if total_tokens is None:
         blocks = int(min((have[s] * goal[s][1] / (goal[s][0] / sum(weights)) for s in names), default=0)) // block_tokens
     else:
         blocks = total_tokens // block_tokens
-    quota = []
-    for s, b in zip(names, sainte_lague(weights, blocks, caps)):
-        shards = [(k, t) for x, k, t in sums if x == s]
-        for (k, t), q in zip(shards, sainte_lague([float(t) for _, t in shards], b, [t * goal[s][1] // block_tokens for _, t in shards])):
-            quota.append((s, k, q * block_tokens // t, q * block_tokens % t))
-    quotas = spark.createDataFrame(quota, "source string, shard int, rounds bigint, rest bigint")
+    given = [(s, b, goal[s][1]) for s, b in zip(names, sainte_lague(weights, blocks, caps))]
+    goals = spark.createDataFrame(given, "source string, blocks bigint, repeats bigint")
+    quotas = shard_quotas(placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")), goals, block_tokens)
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
     block = F.floor(before / block_tokens) * block_tokens

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import load
-from graphloom.runtime import portable, task_count
+from graphloom.runtime import portable, spread
 
 VOCABULARY = os.path.join(os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
@@ -22,10 +22,6 @@ def _shipped(spark: SparkSession, vocabulary: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _spread(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*columns).repartition(task_count(docs.sparkSession), "doc_id")
-
-
 def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and ids of each document, without special tokens (their strings are ordinary text).
 
@@ -43,7 +39,23 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             flat = pa.array([i for x in ids for i in x], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
 
-    return _spread(docs, "doc_id", "text").mapInArrow(portable(work), "doc_id bigint, ids array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(portable(work), "doc_id bigint, ids array<int>")
+
+
+def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id and text of each row of ids, by the incremental decoder; no ids give an empty text, null ids none.
+
+    An id that the vocabulary lacks fails the job.
+    """
+    shipped = _shipped(encoded.sparkSession, vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = load(shipped.value).decode
+        for b in batches:
+            texts = [None if ids is None else "".join(decode(ids)) for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(portable(work), "doc_id bigint, text string")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -56,7 +68,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
-    return _spread(docs, "doc_id", "source", "text").mapInArrow(portable(work), "doc_id bigint, source string, n_tokens bigint")
+    return spread(docs.select("doc_id", "source", "text")).mapInArrow(portable(work), "doc_id bigint, source string, n_tokens bigint")
 
 
 def token_stats(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
