@@ -17,8 +17,10 @@ LANGUAGES = {
 CODE = ""
 LINE, BLOCK = "//", "/*"
 IN_TEMPLATE = "${"
+IN_MARKUP = "<"
 
 _MARK = r"^(?:<{7}|>{7}|={7}|\|{7})(?![<>=|])[^\n\r]*"
+_CONFLICTS = re.compile(_MARK, re.M)
 _WORD = r"[^\W\d]\w*"
 _NUMBER = r"\.?\d(?:[eEpP][+-]|\.(?!\.)|\w)*"
 _DQ, _SQ = r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"', r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
@@ -96,9 +98,13 @@ def decode(content: bytes | None) -> str | None:
         return None
 
 
-def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, int]], str]:
+def lex(text: str, lang: str, state: str = CODE, markup: bool = False) -> tuple[list[tuple[str, int, int]], str]:
     """The tokens of a text that is entered in a state, and the state at its end.
 
+    With `markup` an element may stand where an operand may (JSX): it gives a string token and,
+    like a template, `${` and `}` around each expression in it. A closing tag that closes nothing,
+    attributes and texts that no element can have give tokens `e`.
+
     At the end of a file any state but CODE (and a line comment) is an error. A string that ends
     with its line without being closed gives a token `e`.
     """
@@ -140,11 +146,27 @@ def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, i
                     elif t == "{":
                         stack.append("{")
                     elif t == "}" and stack:
-                        if stack.pop() == "${":
+                        opened = stack.pop()
+                        if opened in ("${", "{<"):
                             out.append(("}", m.start(), m.end()))
-                            pos = _template(text, m.end(), out, stack)
+                            if opened == "{<":
+                                pos = _markup(text, m.end(), out, stack)
+                                if pos < 0:
+                                    return out, IN_MARKUP
+                            else:
+                                pos = _template(text, m.end(), out, stack)
+                                if pos < 0:
+                                    return out, "`"
+                            again = True
+                            break
+                    elif t == "<" and markup and (not out or _no_operand(text, out) or text[out[-1][1] : out[-1][2]] == "default"):
+                        tag = _TAG.match(text, m.start())
+                        if tag and not (lang == "typescript" and _generic(text, tag)):
+                            out.append(("s", tag.start(), tag.end()))
+                            stack.append("<" + (tag[1] or ""))
+                            pos = _markup(text, tag.end(), out, stack)
                             if pos < 0:
-                                return out, "`"
+                                return out, IN_MARKUP
                             again = True
                             break
                 out.append((t, m.start(), m.end()))
@@ -171,9 +193,80 @@ def lex(text: str, lang: str, state: str = CODE) -> tuple[list[tuple[str, int, i
             break
     if out and out[-1][0] == "c" and out[-1][2] == n and not text.startswith("/*", out[-1][1]):
         return out, LINE
+    if any(x[0] in "<>" or x == "{<" for x in stack):
+        return out, IN_MARKUP
     return out, IN_TEMPLATE if "${" in stack else CODE
 
 
+_NAME = r"[A-Za-z_$][\w$.:-]*"
+_TAG = re.compile(rf"<\s*(?:({_NAME})|(?=>))")
+_IN_TAG = re.compile(rf"\s+|=|{_NAME}|\"[^\"]*\"|'[^']*'|/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*")
+_END_TAG = re.compile(rf"</\s*({_NAME})?\s*>")
+
+
+def _generic(text: str, tag: re.Match) -> bool:
+    """Whether `<T` begins type parameters of a function rather than an element."""
+    rest = text[tag.end() : tag.end() + 200]
+    return bool(re.match(r"\s*,|\s+extends\b(?!\s*=)", rest) or re.match(r"[\w\s,]*>\s*\(", rest) and f"</{tag[1]}" not in text[tag.end() :])
+
+
+def _markup(text: str, pos: int, out: list, stack: list) -> int:
+    """Go on in an element, whose tag ("<name") or content (">name") is on top of the stack: to behind its end or behind `{`; -1 if the text ends before."""
+    n = len(text)
+    while stack and stack[-1][0] in "<>":
+        if pos >= n:
+            return -1
+        name = stack[-1][1:]
+        c = text[pos]
+        if stack[-1][0] == "<":
+            m = _IN_TAG.match(text, pos)
+            if m:
+                pos = m.end()
+            elif text.startswith("/>", pos):
+                stack.pop()
+                pos += 2
+            elif c == ">":
+                stack[-1] = ">" + name
+                pos += 1
+            elif c == "{":
+                break
+            elif c == "<" and _TAG.match(text, pos):  # an element as the value of an attribute
+                m = _TAG.match(text, pos)
+                stack.append("<" + (m[1] or ""))
+                pos = m.end()
+            elif c in "\"'":
+                return -1
+            else:
+                out.append(("e", pos, pos + 1))
+                pos += 1
+        elif c == "{":
+            break
+        elif c == "<":
+            m = _END_TAG.match(text, pos)
+            if m:
+                if (m[1] or "") != name:
+                    out.append(("e", pos, m.end()))
+                stack.pop()
+                pos = m.end()
+            elif _TAG.match(text, pos):
+                m = _TAG.match(text, pos)
+                stack.append("<" + (m[1] or ""))
+                pos = m.end()
+            else:
+                out.append(("e", pos, pos + 1))
+                pos += 1
+        else:
+            end = re.compile(r"[{<]|\Z").search(text, pos).start()
+            if re.search(r"[>}]", text[pos:end]) or _CONFLICTS.search(text, pos, end):
+                out.append(("x" if _CONFLICTS.search(text, pos, end) else "e", pos, end))
+            pos = end
+    if stack and stack[-1][0] in "<>":
+        stack.append("{<")
+        out.append(("${", pos, pos + 1))
+        pos += 1
+    return pos
+
+
 def _in_regex(text: str, in_class: bool) -> str:
     """The state at the end of a text that lies within a regular expression."""
     for m in re.finditer(r"\\.|[\[\]]", text):
