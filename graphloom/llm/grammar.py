@@ -439,26 +439,19 @@ def _value_fits(tail: str, lang: str) -> bool:
 
 
 #: Markup within an expression.
-_MARKUP = re.compile(r"(?:\breturn|=>|[(=,?:]|&&|\|\|)\s*<(?:[A-Za-z][\w.]*)?[^;<>]*/?>")
+_MARKUP = re.compile(r"(?:\breturn|\bdefault|=>|[(=,?:]|&&|\|\|)\s*<(?:[A-Za-z][\w.]*)?[^;<>]*/?>")
 
 
 def marked_up(text: str) -> bool:
     return ("</" in text or "/>" in text) and _MARKUP.search(text) is not None
 
 
-def conflict(text: str) -> str | None:
-    return "conflict marker" if re.search(r"(?m)^(?:<{7}|>{7}|={7})(?: |$)", text) else None
-
-
 def parses(text: str, lang: str, markup: bool = False) -> str | None:
     """None if the text is syntactically valid source of the language, else the first complaint.
 
-    With `markup` the text may hold markup in expressions (JSX), which the lexer doesn't know; such
-    a text is judged by conflict markers only.
+    With `markup` the text may hold markup in expressions (JSX).
     """
-    if markup and marked_up(text):
-        return conflict(text)
-    tokens, state = lex(text, lang)
+    tokens, state = lex(text, lang, markup=markup and marked_up(text))
     if state not in (CODE, LINE):
         return "unterminated"
     if any(k in ("x", "e") for k, _, _ in tokens):

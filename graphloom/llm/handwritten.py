@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from graphloom.ingest.lexing import language_of
 from graphloom.llm.origin import marks
-from graphloom.llm.sources import files_once, per_file, text_of
+from graphloom.llm.sources import arrival_type, deliveries, last_of, per_file, text_of
 from graphloom.runtime import cut
 
 COPY_SHARE = 0.5  # of a file's function tokens that are found in files taken over
 
 
-def _marks(path: str, content: bytes | None, repo: str | None) -> Iterator[tuple]:
+def _marks(path: str, arrival, content: bytes | None, repo: str | None) -> Iterator[tuple]:
     text = text_of(content)
     m = marks(path, text if text is not None else (content or b"").decode("latin-1"), language_of(path))
     units = [{"h": h, "n": n} for h, n in dict(m.units).items()]
-    yield path, repo or path.split("/", 1)[0], m.reason, m.body, units, sum(u["n"] for u in units)
+    yield path, arrival, repo or path.split("/", 1)[0], m.reason, m.body, units, sum(u["n"] for u in units)
 
 
 def not_by_hand(files: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def not_by_hand(files: DataFrame) -> DataFrame:
 
     Returns file_path, reason.
     """
-    schema = "file_path string, repo_id string, reason string, body bigint, units array<struct<h: bigint, n: int>>, n_tokens int"
-    m = cut(per_file(files_once(files, "repo_id"), _marks, schema, "file_path", "content", "repo_id"))
+    schema = f"file_path string, arrival {arrival_type(files)}, repo_id string, reason string, body bigint, units array<struct<h: bigint, n: int>>, n_tokens int"
+    m = cut(last_of(per_file(deliveries(files, "repo_id"), _marks, schema, "file_path", "arrival", "content", "repo_id"), "repo_id", "reason", "body", "units", "n_tokens"))
     by_body = m.where("body is not null").groupBy("body").agg(F.max((F.col("reason") == "vendored").cast("int")).alias("taken"), F.min("repo_id").alias("a"), F.max("repo_id").alias("z"))
     copied = by_body.where("taken = 1 or a <> z").select("body")
     taken_units = m.where("reason = 'vendored'").select(F.explode("units.h").alias("h")).distinct()

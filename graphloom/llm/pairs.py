@@ -11,24 +11,30 @@ from graphloom.functions.keys import clean_id, hashed, node_type
 from graphloom.ingest.declarations import functions, sniff
 from graphloom.llm.statements import plain, says_something
 from graphloom.ingest.lexing import language_of
-from graphloom.llm.sources import files_once, per_file, text_of
+from graphloom.llm.sources import arrival_type, deliveries, last_of, per_file, text_of
 
 
-def _extract(full: bool):
-    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
-        lang, text = language_of(path), text_of(content)
-        if lang is None or not text:
+def _functions(path: str, content: bytes | None, full: bool) -> Iterator[tuple]:
+    lang, text = language_of(path), text_of(content)
+    if lang is None or not text:
+        return
+    for language in sniff(text, lang):
+        seen: set[str] = set()
+        any_ = False
+        for f in functions(text, language):
+            any_ = True
+            if f.name not in seen and says_something(f.doc, f.name, f.params):
+                seen.add(f.name)
+                yield (f"{path}::{f.name}", text[f.start : f.end], plain(f.doc), language) if full else (f"{path}::{f.name}",)
+        if any_:
             return
-        for language in sniff(text, lang):
-            seen: set[str] = set()
-            any_ = False
-            for f in functions(text, language):
-                any_ = True
-                if f.name not in seen and says_something(f.doc, f.name, f.params):
-                    seen.add(f.name)
-                    yield (f"{path}::{f.name}", text[f.start : f.end], plain(f.doc), language) if full else (f"{path}::{f.name}",)
-            if any_:
-                return
+
+
+def _extract(full: bool):
+    fields = ("node_id", "code", "documentation", "language") if full else ("node_id",)
+
+    def rows(path: str, arrival, content: bytes | None) -> Iterator[tuple]:
+        yield path, arrival, [dict(zip(fields, f)) for f in _functions(path, content, full)]
 
     return rows
 
@@ -54,8 +60,9 @@ def documented(files: DataFrame, nodes: DataFrame, full: bool = False) -> DataFr
 
     Returns node_id; with `full` also signature, code, documentation, language.
     """
-    schema = "node_id string" + ", code string, documentation string, language string" * full
-    found = per_file(files_once(files), _extract(full), schema, "file_path", "content")
+    one = "node_id: string" + ", code: string, documentation: string, language: string" * full
+    schema = f"file_path string, arrival {arrival_type(files)}, found array<struct<{one}>>"
+    found = last_of(per_file(deliveries(files), _extract(full), schema, "file_path", "arrival", "content"), "found").select(F.inline("found"))
     ids = _function_ids(nodes)
     key = hashed("h", F.col("node_id"))
     if not full:

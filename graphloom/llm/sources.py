@@ -9,24 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.ingest.lexing import decode
-from graphloom.runtime import portable, task_count
+from graphloom.runtime import portable, spread
 
 
-def files_once(files: DataFrame, *keep: str) -> DataFrame:
-    """One row per file_path with its content: of redelivered rows the one that arrived last.
+def deliveries(files: DataFrame, *keep: str) -> DataFrame:
+    """Delivered rows that name a file: file_path, arrival, content and more, in enough tasks for parsing.
 
-    Rows without a path are left out. The one shuffle is by path into enough tasks for the
-    parsing that follows, whatever the size of the compressed input.
+    Contents are parsed where they lie; what came again is settled afterwards, on the small
+    results, by last_of(). So no content is shuffled to find the last delivery of a path.
     """
-    fields = ["loaded_at", "content", *keep]
-    return (
-        files.where("file_path is not null")
-        .select("file_path", *fields)
-        .repartition(task_count(files.sparkSession), "file_path")
-        .groupBy("file_path")
-        .agg(F.max(F.struct(*fields)).alias("f"))
-        .select("file_path", *[f"f.{c}" for c in fields[1:]])
-    )
+    return spread(files.where("file_path is not null").select("file_path", F.col("loaded_at").alias("arrival"), "content", *keep))
+
+
+def arrival_type(files: DataFrame) -> str:
+    return dict(files.dtypes)["loaded_at"]
+
+
+def last_of(results: DataFrame, *fields: str) -> DataFrame:
+    """One result per file_path: that of the delivery that arrived last (no arrival is the earliest; at a tie the greatest fields)."""
+    last = results.groupBy("file_path").agg(F.max(F.struct("arrival", *fields)).alias("r"))
+    return last.select("file_path", *[f"r.{c}" for c in fields])
 
 
 def text_of(content: bytes | None) -> str | None:

@@ -7,19 +7,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.grammar import conflict, marked_up, python_fits, statements_fit
+from graphloom.llm.grammar import marked_up, python_fits, statements_fit
 from graphloom.ingest.lexing import CODE, IN_TEMPLATE, LINE, STATES, brackets, join_brackets, language_of, lex
-from graphloom.llm.sources import files_once, per_file, text_of
+from graphloom.llm.sources import arrival_type, deliveries, last_of, per_file, text_of
 from graphloom.runtime import cut, portable, task_count
 
 CHUNK_CHARS = 1 << 18
 #: What tokens that no language has are called; the smaller counts before the other.
 _BAD = {"x": "conflict marker", "e": "no token"}
 _CUT = re.compile(r"[\n;{},]")
-_FRESH = re.compile(r"\s*(?:function|class|const|let|var|import|export|if|for|while|switch|interface|type|enum|func|public|private|internal|namespace|using|@|\[|\Z)")
+_FRESH = re.compile(r"\s*(?:function|class|const|let|var|import|export|if|for|switch|interface|type|enum|func|public|private|internal|namespace|using|@|\[|\Z)")
 _PY_FRESH = re.compile(r"\n(?=(?:def|class|import|from|async|if|for|while|with|try|@|[A-Za-z_]\w* *=))")
 
 
@@ -33,15 +34,16 @@ def chunks(text: str, size: int) -> Iterator[str]:
         a = b
 
 
+def _entry(text: str, tokens: list, end: str) -> tuple:
+    """What a chunk does that is entered in one state: the state behind it, its bracket summary, and what it has that no language has."""
+    if end == LINE and text.endswith("\n"):
+        end = CODE
+    return end, brackets(tokens), min((_BAD[k] for k, _, _ in tokens if k in _BAD), default="")
+
+
 def state_map(text: str, lang: str, first: bool) -> dict:
-    """For each lexer state in which a chunk may be entered: the state behind it, its bracket summary, and what it has that no language has."""
-    out = {}
-    for s in (CODE,) if first else STATES[lang]:
-        tokens, end = lex(text, lang, s)
-        if end == LINE and text.endswith("\n"):
-            end = CODE
-        out[s] = (end, brackets(tokens), min((_BAD[k] for k, _, _ in tokens if k in _BAD), default=""))
-    return out
+    """_entry() for each lexer state in which a chunk may be entered."""
+    return {s: _entry(text, *lex(text, lang, s)) for s in ((CODE,) if first else STATES[lang])}
 
 
 def compose(left: dict, right: dict) -> dict:
@@ -67,20 +69,47 @@ def _statements(text: str, lang: str, first: bool) -> str | None:
     return python_fits(text) if lang == "python" else statements_fit(text, lex(text, lang)[0], lang, first=first)
 
 
+def verdict(text: str, lang: str, markup: bool = False) -> str | None:
+    """What is wrong with a text that is one chunk: the same steps as for several, the tokens lexed once.
+
+    The map of the only chunk has the one state in which a file begins; its statements of the top
+    level are cut into segments, and each segment is parsed by itself.
+    """
+    tokens, end = lex(text, lang, markup=markup)
+    wrong = _whole({CODE: _entry(text, tokens, end)})
+    if wrong:
+        return wrong
+    at = _cuts(text, lang, CODE, "", tokens, end)
+    bounds = [0, *(at[:1] + at[-1:] if len(at) > 1 else at), len(text)]
+    i = 0
+    for a, z in zip(bounds, bounds[1:]):
+        if lang == "python":
+            wrong = python_fits(text[a:z])
+        else:
+            j = i
+            while j < len(tokens) and tokens[j][1] < z:
+                j += 1
+            wrong = statements_fit(text, tokens[i:j], lang, first=a == 0)
+            i = j
+        if wrong:
+            return wrong
+    return None
+
+
 def _verdicts(size: int):
-    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
+    def rows(path: str, arrival, content: bytes | None) -> Iterator[tuple]:
         lang, text = language_of(path), text_of(content)
         if lang is None:
             return
+        markup = text is not None and path.lower().endswith((".jsx", ".tsx", ".js")) and marked_up(text)
         if text is None:
-            yield path, lang, "encoding", None, None
-        elif path.lower().endswith((".jsx", ".tsx", ".js")) and marked_up(text):
-            yield path, lang, conflict(text), None, None
-        elif len(text) <= size:
-            yield path, lang, _whole(state_map(text, lang, True)) or _statements(text, lang, True), None, None
+            yield path, arrival, lang, "encoding", None, None, None
+        elif markup or len(text) <= size:
+            yield path, arrival, lang, verdict(text, lang, markup), None, None, None
         else:
+            d = xxhash.xxh3_64_intdigest(f"{arrival}\0{text}".encode("utf-8", "surrogatepass")) >> 1
             for i, c in enumerate(chunks(text, size)):
-                yield path, lang, None, i, c
+                yield path, arrival, lang, None, i, c, d
 
     return rows
 
@@ -105,9 +134,8 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file_path", "language", "no", "state", "opened", "complaint"])
 
 
-def _cuts(text: str, lang: str, state: str, opened: str) -> list[int]:
+def _cuts(text: str, lang: str, state: str, opened: str, tokens: list, end: str) -> list[int]:
     """Places in a chunk where a statement of the top level begins."""
-    tokens, end = lex(text, lang, state)
     depth, at = len(opened), []
     code = [t for t in tokens if t[0] != "c"]
     if lang == "python":
@@ -134,7 +162,7 @@ def _cuts(text: str, lang: str, state: str, opened: str) -> list[int]:
 
 def _pieces(path: str, lang: str, no: int, text: str, state: str, opened: str) -> Iterator[tuple]:
     """The chunk cut into what belongs to an earlier segment, whole statements, and the beginning of the next segment."""
-    at = _cuts(text, lang, state, opened)
+    at = _cuts(text, lang, state, opened, *lex(text, lang, state))
     if not at:
         yield path, lang, no, 0, text, False
         return
@@ -156,28 +184,32 @@ def _segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def check_syntax(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Whether each file is valid source of the language of its extension.
 
-    A file of up to chunk_chars is one chunk, judged by its state map and by the local grammars of
-    its statements. Text with markup in expressions is judged by conflict markers only, whatever its
-    length. A longer one is cut into chunks in many tasks: each gives, for every lexer state it may be
-    entered in, the state behind it and a summary of its brackets; these compose associatively.
-    With the state before each chunk known, statements of the top level are put together across
-    chunks and each segment is parsed by itself, in any task. Python's own parser is the exact
-    check of its statements; the other languages' grammars are regular expressions over letters
-    for tokens and bracket groups, which accept somewhat more than the language.
+    Every file goes the same way. It is cut into chunks; each chunk gives, for every lexer state it
+    may be entered in, the state behind it and a summary of its brackets; these compose
+    associatively. With the state before each chunk known, statements of the top level are put
+    together across chunks and each segment is parsed by itself. A file of up to chunk_chars is one
+    chunk and takes these steps where it lies (verdict()); those of a longer one run in many tasks.
+    Text with markup in expressions is one chunk whatever its length, since elements nest without
+    bound and a chunk would have to be entered at any depth. Python's own parser is the exact check
+    of its statements; the other languages' grammars are regular expressions over letters for
+    tokens and bracket groups, which accept somewhat more than the language.
 
     A null or empty content is an empty text (valid but in Go); what is not UTF-8 is invalid. Files
-    with another extension give no row. Rows that came again count once.
+    with another extension give no row. Of rows that came again the one that arrived last counts.
 
     Returns file_path, language, complaint (null: valid).
     """
     spark = files.sparkSession
-    schema = "file_path string, language string, complaint string, no int, text string"
-    first = cut(per_file(files_once(files), _verdicts(chunk_chars), schema, "file_path", "content"))
-    small = first.where("no is null").select("file_path", "language", "complaint")
-    long = first.where("no is not null").drop("complaint")
-    if long.isEmpty():
-        return small
-    long = long.repartition(task_count(spark), "file_path", "no")
+    schema = f"file_path string, arrival {arrival_type(files)}, language string, complaint string, no int, text string, delivery bigint"
+    first = cut(per_file(deliveries(files), _verdicts(chunk_chars), schema, "file_path", "arrival", "content"))
+    small = first.where("no is null").select("file_path", "arrival", "language", "complaint")
+    chunked = first.where("no is not null")
+    if chunked.isEmpty():
+        return last_of(small, "language", "complaint")
+    # deliveries of one path are files of their own until the end
+    chunked = chunked.withColumn("of", F.concat_ws("\0", "file_path", "delivery"))
+    of = chunked.groupBy("of").agg(F.max("file_path").alias("path"), F.max("arrival").alias("arrival"))
+    long = chunked.select(F.col("of").alias("file_path"), "language", "no", "text").repartition(task_count(files.sparkSession, chunked), "file_path", "no").dropDuplicates(["file_path", "no"])
     maps = per_file(long, _maps, "file_path string, language string, no int, map string", "file_path", "language", "no", "text")
     entered = cut(maps.groupBy("file_path").applyInPandas(portable(_fold, "frame"), "file_path string, language string, no int, state string, opened string, complaint string"))
     whole = entered.where("no = -1").select("file_path", "language", "complaint")
@@ -186,7 +218,9 @@ def check_syntax(files: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     w = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("file_path").orderBy("no", "part"))
     segments = pieces.withColumn("segment", F.coalesce(w, F.lit(0)))
     parsed = segments.groupBy("file_path", "segment").applyInPandas(portable(_segments, "keyed"), "file_path string, language string, complaint string")
-    return small.unionByName(whole).unionByName(parsed.groupBy("file_path", "language").agg(F.min("complaint").alias("complaint")))
+    both = whole.unionByName(parsed.groupBy("file_path", "language").agg(F.min("complaint").alias("complaint")))
+    long_ones = both.withColumnRenamed("file_path", "of").join(of, "of").select(F.col("path").alias("file_path"), "arrival", "language", "complaint")
+    return last_of(small.unionByName(long_ones), "language", "complaint")
 
 
 def failure_rates(checked: DataFrame, files: DataFrame, summary: DataFrame) -> DataFrame:
