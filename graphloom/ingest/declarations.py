@@ -25,12 +25,12 @@ _BREAK = re.compile(r"\r\n|\r|\n")
 _CONFLICT = re.compile(r"(?m)^(?:<{7}|>{7}|={7}|\|{7})(?: [^\n]*)?\n")
 
 
-def functions(text: str, lang: str) -> Iterator[Function]:
+def functions(text: str, lang: str, lexed: tuple[list, str] | None = None) -> Iterator[Function]:
     """All functions of a text, in order; bodies are skipped, so none within another.
 
-    Works on broken text too: conflict markers are skipped, an open body ends with the text.
+    `lexed` is what lex() gave for the text, where that is known. Works on broken text too: conflict markers are skipped, an open body ends with the text.
     """
-    tokens, state = lex(text, lang)
+    tokens, state = lexed or lex(text, lang)
     tokens = [t for t in tokens if t[0] not in ("x", "e")]
     if lang == "python":
         yield from _python(text, tokens, state)
