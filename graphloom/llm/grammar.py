@@ -46,9 +46,10 @@ def _letter(t: str) -> str:
 
 # Expressions. Possessive repeats keep long tables linear.
 _GEN = r"<[w.,?<>x&B@oCPsn:|RyvM]*?[>o]"
+_TS_GEN = r"<w(?:x[w.<>|&Bs]+)?(?:,w(?:x[w.<>|&Bs]+)?)*,?>(?=P)"
 _JS_T = r"(?:[puiyNd*]|<)*+(?:f\*?w?(?:<[w,x]*>)?P(?::[w.B<>,]+)?K|cw?(?:xw(?:\.w)*)?K|[wnsrPBCI])(?:\.[wPB]|[PBsi])*+"
 _JS_E = rf"{_JS_T}(?:AK|(?:[ou*=?:,A<>&]|,(?=$)|[<>]+[=P])(?:(?<=,)$|{_JS_T}))*+,?"
-_TS_T = rf"(?:[puiyNd*]|<)*+(?:f\*?w?(?:<[w,x]*>)?P(?::[w.B<>,]+)?K|cw?(?:xw(?:\.w)*)?K|[wnsrPBCI])(?:{_GEN}(?=[PA=,]|\Z)|\.[wPB]|[PBsip])*+"
+_TS_T = rf"(?:{_TS_GEN})?(?:[puiyNd*]|<)*+(?:f\*?w?(?:<[w,x]*>)?P(?::[w.B<>,]+)?K|cw?(?:xw(?:\.w)*)?K|[wnsrPBCI])(?:{_GEN}(?=[PA=,]|\Z)|\.[wPB]|[PBsip])*+"
 _TS_TYPE = r"[w.nsPBCo&<>,Ay?u:|]+?"
 _TS_E = rf"{_TS_T}(?:AK|[ou*=?:,A<>&](?:(?<=,)$|{_TS_T}))*+,?"
 _C_TYPE = rf"w(?:\.w)*(?:{_GEN})?(?:\.w(?:{_GEN})?)*[B?]*"
@@ -85,7 +86,7 @@ STATEMENTS = {
     },
     "java": {
         TYPE: [r";", rf"{_ANN}kw(?:\.w)*;", r"IM?w(?:\.w)*(?:\.\*)?;", _JAVA_TYPE_DECL],
-        BLOCK: [*_FLOW_STMT, rf"{_JAVA_DECL};", _JAVA_TYPE_DECL],
+        BLOCK: [*[p if p[0] != "J" else r"Jw?;" for p in _FLOW_STMT], rf"{_JAVA_DECL};", _JAVA_TYPE_DECL],
         MEMBERS: [
             r";", rf"(?:{_ANN}[Mq])*{_ANN}(?:{_GEN})?{_C_TYPE}wPB*(?:x{_C_TYPE}(?:,{_C_TYPE})*)?(?:K|(?:q§)?;)", rf"(?:{_ANN}M)*{_ANN}(?:{_GEN})?W(?:P)?(?:x{_C_TYPE}(?:,{_C_TYPE})*)?K", rf"{_JAVA_DECL};", _JAVA_TYPE_DECL, r"M*K",
         ],
@@ -100,7 +101,7 @@ STATEMENTS = {
     },
     "go": {
         TYPE: [r";", r"kw", r"I(?:[w.]?s|P)", rf"fP?wB?P(?:{_GO_TYPE})?K?", r"v(?:P|¤)", r"t(?:P|wB?=?¥)", r"x"],
-        BLOCK: [r"", r"§", r"R§?", r"Jw?", r"Q.*:", r"q:", r"w:", r"v(?:P|¤)", r"t(?:P|wB?=?¥)", r"K", r"[EFOS].*K|[FOS]K", r"SC"],
+        BLOCK: [r"", r"§", r"R§?", r"Jw?", r"Q.*:", r"q:", r"w:", r"v(?:P|¤)", r"t(?:P|wB?=?¥)", r"K", r"(?:E?F(?:§?;)?§|E|O(?:§?;§?;(?:§)?|§)?|S(?:§?;)?(?:§)?)K", r"SC"],
     },
 }
 _GO_VAR = rf"w(?:,w)*(?:{_GO_TYPE})?(?:=§)?"
@@ -109,8 +110,9 @@ _PARENS = {
     "javascript": r"(?:v?§)?(?:;(?:§)?;(?:§)?)?",
     "typescript": rf"(?:v?w{{0,2}}{_TS_DECL}(?:,w{{0,2}}d?{_TS_DECL})*,?)|(?:v?w?d?(?:§|{_TS_DECL})(?:,w?d?{_TS_DECL})*,?)?(?:;(?:§)?;(?:§)?)?|d.*",
     "java": rf"(?:(?:{_JAVA_DECL}|§)(?:[;:,](?:{_JAVA_DECL}|§)?)*)?|;.*|M*{_C_TYPE}(?:o{_C_TYPE})+w",
-    "csharp": rf"(?:(?:{_CS_ATTR}M*(?:{_CS_DECL}|§|{_C_TYPE}))(?:[;:,]{_CS_ATTR}M*(?:{_CS_DECL}|§)?|Mw?§|o§)*)?|;.*|w:.*|(?:[MB]*.*)",
-    "go": r"[^;QRFOSJ]*|(?:[w.]?s;*)*|(?:¤;*)*|(?:wB?=?¥;*)*|(?:§)?.*",
+    # the last alternative takes patterns and queries, but no two values side by side and no three words as a parameter
+    "csharp": rf"(?:(?:{_CS_ATTR}M*(?:{_CS_DECL}|§|{_C_TYPE}))(?:[;:,]{_CS_ATTR}M*(?:{_CS_DECL}|§)?|Mw?§|o§)*)?|;.*|(?!.*[nsr][nsrw]|.*w[ns]|(?:.*,)?M*www)(?:[MB]*.*)",
+    "go": rf"(?:[w.]?s(?:;+[w.]?s)*;*)?|¤(?:;+¤)*;*|wB?=?¥(?:;+wB?=?¥)*;*|t|§?|(?:w,)*w?d?¥(?:,(?:w,)*w?d?¥)*,?",
 }
 
 
@@ -124,13 +126,14 @@ _COMPILED = {lang: _compile(lang) for lang in _EXPR}
 _ENUM = {"java": re.compile(rf"(?:{_ANN}wP?K?(?:,{_ANN}wP?K?)*,?)?;?Z?\Z"), "csharp": re.compile(rf"{_CS_ATTR}w(?:={_C_E})?(?:,{_CS_ATTR}w(?:={_C_E})?)*,?Z\Z")}
 _ENDS_OPERAND = frozenset("wWnsrPBCKiJRp")
 _STARTS = frozenset("wnsr")
+_TS_MODIFIERS = frozenset("readonly get set type static async declare asserts".split())
 
 
 class _Frame:
-    __slots__ = ("kind", "buf", "owner", "held", "colons", "first", "enum")
+    __slots__ = ("kind", "buf", "owner", "held", "colons", "first", "enum", "ifs")
 
     def __init__(self, kind: str, owner: str | None = None):
-        self.kind, self.owner, self.buf, self.held, self.colons, self.first, self.enum = kind, owner, "", False, 0, True, False
+        self.kind, self.owner, self.buf, self.held, self.colons, self.first, self.enum, self.ifs = kind, owner, "", False, 0, True, False, 0
 
 
 def _brace(lang: str, f: _Frame, names: list[str]) -> tuple[str, str]:
@@ -211,6 +214,15 @@ def statements_fit(text: str, tokens: list[tuple[str, int, int]], lang: str, fir
             ok = (b == "kw") if f.first else b != "kw" and rules[TYPE].match(b)
             f.first = False
             return bool(ok)
+        if not go and f.kind != MEMBERS:  # an else needs an if that has none yet
+            if b == "E":
+                if not f.ifs:
+                    return False
+                f.ifs -= 1
+            elif not held:
+                f.ifs = 0
+            if b == "FP":
+                f.ifs += 1
         if not rules[f.kind].match(b) and not (f.enum and lang in _ENUM and _ENUM[lang].match(b)):
             return False
         if js and b.count(":") > b.count("?") and b[-1] != ":":
@@ -218,7 +230,7 @@ def statements_fit(text: str, tokens: list[tuple[str, int, int]], lang: str, fir
                 return False
             if lang == "typescript" and re.match(r"X?v", b) and re.search(r"=[^A?]*:[^A?]*$", b):
                 return False
-        if re.fullmatch(r"[FO]w?P|[ED]|T|TP|UP|HP?(?:wP)?", b) and not (b == "FP" and held):
+        if re.fullmatch(r"[FO]w?P|[ED]|T|TP|UP|HP?(?:wP)?", b):
             f.held = True
         return True
 
@@ -283,6 +295,8 @@ def statements_fit(text: str, tokens: list[tuple[str, int, int]], lang: str, fir
                     continue
                 elif word == "where" and nxt[0] == "w" and n2 == ":":
                     c = "x"
+                elif lang == "csharp" and word == "not" and b[-1:] == "o" or word == "this" and f.kind == PAREN and nxt[0] == "w":
+                    continue
                 elif word in ("not", "and", "or", "when") and b and (b[-1] in "wnsPo"):
                     c = "o"
                 if c == "w" and f.kind == MEMBERS and word == f.owner and nxt[0] == "(":
@@ -295,6 +309,8 @@ def statements_fit(text: str, tokens: list[tuple[str, int, int]], lang: str, fir
                         f.buf += ";"
                     elif not flush(f):
                         return "statement"
+            if lang == "typescript" and f.kind == FREE and c == "w" and b[-2:] == "ww" and i > 1 and "\n" not in text[toks[i - 2][1] : a] and text[toks[i - 2][1] : toks[i - 2][2]] not in _TS_MODIFIERS:
+                return "statement"
             if c == "c" and nxt[0] == "w":
                 names.append(text[nxt[1] : nxt[2]])
                 enums[0] = word == "enum"
@@ -353,7 +369,7 @@ def statements_fit(text: str, tokens: list[tuple[str, int, int]], lang: str, fir
                 if lang == "javascript" and t.count(":") > t.count("?"):
                     return "parentheses"
             elif inner.kind == VALUE and not go:
-                if inner.owner != "${" and not _value_fits(tail, lang):
+                if inner.owner == "${" and tail and not square.match(tail) or inner.owner != "${" and not _value_fits(tail, lang):
                     return "braces"
             elif inner.kind == SQUARE and js and not square.match(re.sub(r"^,+|(?<=,),+", "", tail)) and lang == "javascript":
                 return "square brackets"
@@ -434,7 +450,7 @@ def _value_fits(tail: str, lang: str) -> bool:
     if lang in ("javascript", "typescript"):
         t = re.sub(r"(?:^|(?<=,))(?:w{0,2}\*?[wsnB]PK)(?=,|$)", "w", tail)
         t = re.sub(r"(?:^|(?<=,))w{0,2}\*?[wsnB](?:<[^>]*>)?P(?::[^K]*)?K(?=,|$)", "w", t)
-        return bool(_COMPILED[lang][2].match(t)) or lang == "typescript" and bool(re.match(r"[wsnBPC:;,?.<>oAu&|y]*\Z", t))
+        return bool(_COMPILED[lang][2].match(t)) or lang == "typescript" and bool(re.match(r"(?!.*:(?:[;,]|\Z))[wsnBPC:;,?.<>oAu&|y]*\Z", t))
     return bool(re.match(rf"(?:(?:{_C_E})|B=.*)\Z", tail))
 
 

@@ -19,7 +19,7 @@ def _marks(path: str, arrival, content: bytes | None, repo: str | None) -> Itera
     text = text_of(content)
     m = marks(path, text if text is not None else (content or b"").decode("latin-1"), language_of(path))
     units = [{"h": h, "n": n} for h, n in dict(m.units).items()]
-    yield path, arrival, repo or path.split("/", 1)[0], m.reason, m.body, units, sum(u["n"] for u in units)
+    yield path, arrival, repo or path.split("/", 1)[0], m.reason, m.layout, m.body, units, sum(u["n"] for u in units)
 
 
 def not_by_hand(files: DataFrame) -> DataFrame:
@@ -35,10 +35,11 @@ def not_by_hand(files: DataFrame) -> DataFrame:
     Files without content show only their name. A file without a known extension is lexed like
     JavaScript. Repeated rows count once.
 
-    Returns file_path, reason.
+    Returns file_path, reason, and signal: what shows it, `layout` (the layout alone would), else
+    `convention` (a name or header comment) or `copy`.
     """
-    schema = f"file_path string, arrival {arrival_type(files)}, repo_id string, reason string, body bigint, units array<struct<h: bigint, n: int>>, n_tokens int"
-    m = cut(last_of(per_file(deliveries(files, "repo_id"), _marks, schema, "file_path", "arrival", "content", "repo_id"), "repo_id", "reason", "body", "units", "n_tokens"))
+    schema = f"file_path string, arrival {arrival_type(files)}, repo_id string, reason string, layout string, body bigint, units array<struct<h: bigint, n: int>>, n_tokens int"
+    m = cut(last_of(per_file(deliveries(files, "repo_id"), _marks, schema, "file_path", "arrival", "content", "repo_id"), "repo_id", "reason", "layout", "body", "units", "n_tokens"))
     by_body = m.where("body is not null").groupBy("body").agg(F.max((F.col("reason") == "vendored").cast("int")).alias("taken"), F.min("repo_id").alias("a"), F.max("repo_id").alias("z"))
     copied = by_body.where("taken = 1 or a <> z").select("body")
     taken_units = m.where("reason = 'vendored'").select(F.explode("units.h").alias("h")).distinct()
@@ -53,5 +54,6 @@ def not_by_hand(files: DataFrame) -> DataFrame:
         .where(F.col("n") >= COPY_SHARE * F.col("n_tokens"))
         .select("file_path")
     )
-    copies = whole.unionByName(share).distinct().withColumn("reason", F.lit("vendored"))
-    return m.where("reason is not null").select("file_path", "reason").unionByName(copies)
+    copies = whole.unionByName(share).distinct().select("file_path", F.lit("vendored").alias("reason"), F.lit("copy").alias("signal"))
+    by = F.when(F.col("layout").isNotNull(), "layout").otherwise("convention")
+    return m.where("reason is not null").select("file_path", "reason", by.alias("signal")).unionByName(copies)

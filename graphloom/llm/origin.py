@@ -35,6 +35,7 @@ _TAKEN = re.compile(
 
 class Marks(NamedTuple):
     reason: str | None  # generated, minified, vendored, data
+    layout: str | None  # what the layout alone says
     body: int | None  # digest of all code tokens
     units: list[tuple[int, int]]  # digest and number of tokens of each function
     tokens: int
@@ -66,24 +67,23 @@ def header(text: str, tokens: list) -> str:
 def marks(path: str, text: str, lang: str | None) -> Marks:
     """What one file shows by itself, and digests by which copies of it are found elsewhere.
 
-    The file is lexed and its canonical layout counted: a line per statement, block opening and
-    block end outside of parentheses. A file that would grow many times is squeezed; one that
-    consists of statements of one shape in one layout is machine-made; one whose words are nearly
-    all literals is data. Names of folders and files and header comments follow fixed conventions.
+    The file is lexed, emitted again in its canonical layout, and the original layout compared
+    with that: see layout_reason(). What a layout can't tell (a well-formed file that a tool wrote
+    or that was taken over) is told by conventions: names of folders and files, header comments.
     """
     folders, name = path.split("/")[:-1], path.rsplit("/", 1)[-1]
-    tokens, _ = lex(text, lang or "javascript")
+    lexed = lex(text, lang or "javascript")
+    tokens = lexed[0]
     code = [t for t in tokens if t[0] != "c"]
     head = header(text, tokens)
-    reason = None
+    layout = layout_reason(text, code, lang)
+    reason = layout
     if any(f in VENDOR_DIRS for f in folders) or _TAKEN.search(head):
         reason = "vendored"
     elif any(f in GENERATED_DIRS for f in folders) or _GENERATED_NAME.search(name) or _TOOL.search(head) and not _BY_HAND.search(head):
         reason = "generated"
     elif _SQUEEZED_NAME.search(name):
         reason = "minified"
-    else:
-        reason = _layout(text, code, lang)
     digest = xxhash.xxh3_64_intdigest
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     joined = lambda ts: "\x1f".join([text[a:z] for _, a, z in ts])
@@ -91,7 +91,7 @@ def marks(path: str, text: str, lang: str | None) -> Marks:
     units = []
     if body is not None and lang and reason in (None, "vendored"):
         i = 0
-        for f in functions(text, lang):
+        for f in functions(text, lang, lexed):
             while i < len(code) and code[i][1] < f.start:
                 i += 1
             j = i
@@ -99,43 +99,71 @@ def marks(path: str, text: str, lang: str | None) -> Marks:
                 j += 1
             if j - i >= UNIT_TOKENS:
                 units.append((signed(digest(joined(code[i:j]))), j - i))
-    return Marks(reason, body, units, len(code))
+    return Marks(reason, layout, body, units, len(code))
 
 
-def _layout(text: str, code: list, lang: str | None) -> str | None:
-    if not code:
-        return None
-    words = literals = depth = lines = word_chars = literal_chars = gaps = missing = 0
-    before = ("", 0, 0)
+def emitted(text: str, code: list) -> tuple[str, list[bool]]:
+    """The code in its canonical layout, and for each blank or line break that layout is free to leave out whether the original has it.
+
+    A line per statement, block opening and block end outside of parentheses, indented by the
+    depth of blocks; a blank behind commas, around assignments, arrows and comparisons, before a
+    block; one between two words. Nothing else.
+    """
+    out: list[str] = []
+    kept: list[bool] = []
+    depth = level = 0
+    b, end = "", 0
     for k, a, z in code:
-        b = before[0]
-        if b in (",", ";") and k not in (")", "]", "}") or depth <= 0 and (k in _SPACED or b in _SPACED) or k == "{" and b == ")":
-            gaps += 1
-            missing += before[2] == a
-        before = (k, a, z)
-        if k == "w":
-            words += 1
-            word_chars += z - a
-        elif k in ("n", "s"):
-            literals += 1
-            literal_chars += z - a
-        elif k in ("(", "["):
+        free = b in (",", ";") and k not in (")", "]", "}") or depth <= 0 and (k in _SPACED or b in _SPACED) or k == "{" and b == ")"
+        if free:
+            kept.append(end != a)
+        if k == "}" and depth <= 0:
+            level = max(0, level - 1)
+        if out:
+            if b in (";", "{", "}") and depth <= 0:
+                out.append("\n" + "  " * level)
+            elif free or b in ("w", "n", "s") and k in ("w", "n", "s"):
+                out.append(" ")
+        out.append(text[a:z])
+        if k in ("(", "["):
             depth += 1
         elif k in (")", "]"):
             depth -= 1
-        if k in (";", "{", "}") and depth <= 0:
-            lines += 1
-    if literals >= LITERALS and (literals >= LITERAL_SHARE * (words + literals) or literal_chars >= LITERAL_CHARS * (word_chars + literal_chars)):
+        elif k == "{" and depth <= 0:
+            level += 1
+        b, end = k, z
+    return "".join(out), kept
+
+
+def layout_reason(text: str, code: list, lang: str | None) -> str | None:
+    """What the original layout says against the canonical one.
+
+    `data`: nearly all words are literals. `minified`: what the canonical layout has and the
+    original lacks, blanks and breaks (GAP_SHARE of them) or lines (EXPANSION times as many, the
+    original's being long). `generated`: perfect uniformity, line after line of one shape.
+    """
+    if not code:
+        return None
+    size = {"w": 0, "n": 0, "s": 0}
+    number = {"w": 0, "n": 0, "s": 0}
+    for k, a, z in code:
+        if k in size:
+            size[k] += z - a
+            number[k] += 1
+    literals, chars = number["n"] + number["s"], size["n"] + size["s"]
+    if literals >= LITERALS and (literals >= LITERAL_SHARE * (number["w"] + literals) or chars >= LITERAL_CHARS * (size["w"] + chars)):
         return "data"
-    if gaps >= GAPS and missing >= GAP_SHARE * gaps:
+    canonical, kept = emitted(text, code)
+    if len(kept) >= GAPS and kept.count(False) >= GAP_SHARE * len(kept):
         return "minified"
-    rows = len({r for r in _line_numbers(text, code)})
+    numbers = list(_line_numbers(text, code))
+    rows, lines = len(set(numbers)), canonical.count("\n") + 1
     if lang != "python" and lines >= EXPANSION * rows and len(text) >= LINE_CHARS * rows and lines >= 20:
         return "minified"
     shapes: dict[str, int] = {}
     row: list[str] = []
     total, last = 0, -1
-    for (k, a, _), r in zip(code, _line_numbers(text, code)):
+    for (k, _, _), r in zip(code, numbers):
         if r != last and row:
             s = " ".join(row)
             shapes[s] = shapes.get(s, 0) + 1

@@ -36,7 +36,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return not_by_hand(table(spark, sf_dir, "source_files")).groupBy("reason").agg(F.count("*").alias("n_files"))
+    return not_by_hand(table(spark, sf_dir, "source_files")).groupBy("reason", "signal").agg(F.count("*").alias("n_files"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
