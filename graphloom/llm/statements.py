@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-#: Words that state nothing about a function.
-EMPTY_WORDS = frozenset(
-    """a an the this that these it its is are be been of for to from and or in on with by as at function functions method methods procedure routine class helper util utility
-    doc docs docstring documentation documented document comment comments description describe described descriptions summary remarks todo fixme tbd tba xxx hack wip none null nil nothing
-    na n placeholder stub dummy missing no not undocumented internal inherited inherits inherit inheritdoc self explanatory obvious see above below code source here goes add insert write
-    fill later soon yet follow follows come comes coming lorem ipsum dolor auto autogenerated automatically generated param params parameter parameters arg args argument arguments
-    return returns returned raises throws type rtype value implement implemented implementation some text""".split()
+#: Words of grammar, words for documentation itself, and marks of what is still to be written.
+GRAMMAR_WORDS = frozenset("a an the this that these it its is are be been of for to from and or in on with by as at some no not none null nil nothing self".split())
+ABOUT_DOCS = frozenset(
+    """function functions method methods procedure routine class helper util utility doc docs docstring documentation documented document comment comments description describe described descriptions summary remarks
+    param params parameter parameters arg args argument arguments return returns returned raises throws type rtype value implement implemented implementation inherited inherits inherit inheritdoc undocumented""".split()
 )
+OPEN_MARKS = frozenset("todo fixme tbd tba xxx hack wip na n placeholder stub dummy missing internal lorem ipsum dolor auto autogenerated automatically generated here later soon yet goes coming fill obvious explanatory see above".split())
+#: Words that state something, but not beside a word about documentation or a mark of what is to be written.
+WEAK_WORDS = frozenset("add insert write below code source text follow follows come comes".split())
+EMPTY_WORDS = GRAMMAR_WORDS | ABOUT_DOCS | OPEN_MARKS
 _POINTER = re.compile(r"(?i)^\W*(?:(?:please )?(?:see|refer to|cf|same as|as in|identical to|documented (?:in|at)|described (?:in|at)|inherited|inherits|overrides?|copied from|delegates to|documentation (?:is )?(?:in|at))\b)[^.!?。]*(?:[.!?](?=\w)[^.!?。]*)*[.!?。]?\s*$")
 _CONFLICT = re.compile(r"(?m)^(?:<{7}|>{7}|={7}|\|{7})(?: [^\n]*)?$")
 _PARTS = re.compile(r"[^\W\d_]+|\d+")
@@ -52,13 +54,16 @@ def says_something(doc: str | None, name: str, params: str) -> bool:
     if not s or _POINTER.match(s) and len(s.split()) <= 12:
         return False
     known = _names(name) | _names(params)
-    for p in _PARTS.findall(s):
-        if p.isdigit():
-            continue
+    words = [p for p in _PARTS.findall(s) if not p.isdigit() and p.lower() not in GRAMMAR_WORDS]
+    weak, empty = set(), False
+    for p in words:
         if p.lower() in EMPTY_WORDS:
+            empty = True
             continue
         for h in _HUMPS.findall(p) or [p]:
             h = h.lower()
-            if h not in EMPTY_WORDS and _stem(h) not in known:
+            if h in WEAK_WORDS:
+                weak.add(h)
+            elif h not in EMPTY_WORDS and _stem(h) not in known:
                 return True
-    return False
+    return len(weak) > 1 and not empty

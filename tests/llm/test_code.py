@@ -15,8 +15,8 @@ def files(spark, data):
     return spark.createDataFrame([(p, p.split("/")[0] if p else None, t.encode() if isinstance(t, str) else t, T0, "clash", "clash", 1) for p, t in data.items()], FILES)
 
 
-EMPTY = ["", "   ", "TODO: describe parse record", "Parse the record.", "parse_record()", "Parses a late record", "Inherited.", "{@inheritDoc}", "<inheritdoc/>", "See above.", "See the docs of Reader.", "N/A", "...", "This is parse record.", "@param a\n@return", ":param a:\n:return:", '<param name="a"></param>', "Auto-generated stub.", "parse_record ...", "(no documentation)"]
-REAL = ["Never returns null.", "Holds no harbor.", "该函数只读取一次。", "Liest nur einmal.", "Caller closes the record.", "parse_record works as follows. Stops after 9 errors.", "Mutates its argument!", "Retries twice (see the notes)."]
+EMPTY = ["", "   ", "TODO: describe parse record", "Parse the record.", "parse_record()", "Parses a late record", "Inherited.", "{@inheritDoc}", "<inheritdoc/>", "See above.", "See the docs of Reader.", "N/A", "...", "This is parse record.", "@param a\n@return", ":param a:\n:return:", '<param name="a"></param>', "Auto-generated stub.", "parse_record ...", "(no documentation)", "Add text here.", "Documentation follows below.", "Code goes here"]
+REAL = ["Never returns null.", "Holds no harbor.", "该函数只读取一次。", "Liest nur einmal.", "Caller closes the record.", "parse_record works as follows. Stops after 9 errors.", "Mutates its argument!", "Retries twice (see the notes).", "Insert below the code.", "Follows source text."]
 
 
 @pytest.mark.parametrize("doc", EMPTY)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import PATTERN, ByteBpe, load
 from graphloom.llm.canonical import canonical
 from graphloom.llm.lookalike import canonical_texts, same_look_classes, same_look_pairs
-from graphloom.llm.mixture import mix, sainte_lague
-from graphloom.llm.tokens import VOCABULARY, count_tokens, encode_corpus
+from graphloom.llm.mixture import mix, sainte_lague, shard_quotas
+from graphloom.llm.tokens import VOCABULARY, count_tokens, decode_corpus, encode_corpus
 
 DOC = "doc_id bigint, text string, source string, ids string, form string, f1 bigint, shard int, times int"
 
@@ -144,3 +144,27 @@ def test_pairs_against_brute_force(spark):
 
 def test_counts(spark):
     assert {(r["doc_id"], r["n_tokens"]) for r in count_tokens(docs(spark, [(1, None), (2, "Hello world")])).collect()} == {(1, 0), (2, 2)}
+
+
+def test_copies_never_meet(spark):
+    d = spark.range(20_000).selectExpr("id as doc_id", "case when id = 7 then 'T\u0435st' else 'Test' end as text")
+    rows = same_look_pairs(d)
+    assert rows.count() == 19_999 and rows.where("doc_id_a = 7 or doc_id_b = 7").count() == 19_999
+
+
+def test_quotas_of_shards_are_highest_quotients(spark):
+    import random
+
+    r = random.Random(5)
+    shards = [("s", i, r.randint(50, 400)) for i in range(40)] + [("t", i, 300) for i in range(7)]
+    for blocks in (3, 57, 333):
+        goals = spark.createDataFrame([("s", blocks, 9), ("t", blocks // 3, 9)], "source string, blocks bigint, repeats bigint")
+        got = {(q["source"], q["shard"]): q["rounds"] * t + q["rest"] for q in shard_quotas(spark.createDataFrame(shards, "source string, shard int, t bigint"), goals, 8).collect() for s, i, t in shards if (s, i) == (q["source"], q["shard"])}
+        for s, b in (("s", blocks), ("t", blocks // 3)):
+            mine = [(i, t) for x, i, t in shards if x == s]
+            assert [got[s, i] for i, _ in mine] == [8 * k for k in sainte_lague([float(t) for _, t in mine], b, [t * 9 // 8 for _, t in mine])]
+
+
+def test_decoding_is_the_inverse(spark):
+    texts = [(1, "Zwei \U0001f469\u200d\U0001f4bb"), (2, None), (3, ""), (4, "a" * 3000)]
+    assert {tuple(r) for r in decode_corpus(encode_corpus(docs(spark, texts))).collect()} == {(i, t or "") for i, t in texts}
