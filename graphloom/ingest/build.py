@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from graphloom.functions import dims
-from graphloom.ingest.extract import extract, fingerprint
-from graphloom.ingest.lexing import language_of
-from graphloom.runtime import cut, portable, task_count
+from graphloom.ingest.extract import extract, fingerprint, package_of
+from graphloom.ingest.lexing import decode, language_of
+from graphloom.ingest.resolve import resolve, resolve_imports
+from graphloom.runtime import cut, portable, spread
 
 FACTS = (
     "record string, file_path string, repo_id string, id string, type string, name string, qualified_name string, line_start int, line_end int, signature string, docstring string, tags array<string>, "
-    "language_id string, kind string, qualifier string, module string"
+    "language_id string, kind string, qualifier string, module string, package string, receiver string, via string"
 )
 EDGE = "source string, target string, type string, confidence double, resolution string"
 
@@ -36,85 +37,57 @@ def _arrow(df: DataFrame, rows, schema: str, *columns: str) -> DataFrame:
     return df.select(*columns).mapInArrow(portable(work), schema)
 
 
-def latest_files(files: DataFrame) -> DataFrame:
-    """file_path, repo_id and content once per path, the row that arrived last; excluded folders are left out."""
-    return (
-        files.where(F.col("file_path").isNotNull() & ~dims.is_excluded(F.col("file_path")))
-        .select("file_path", "repo_id", "content", "loaded_at")
-        .repartition(task_count(files.sparkSession), "file_path")
-        .groupBy("file_path")
-        .agg(F.max(F.struct("loaded_at", "content", "repo_id")).alias("f"))
-        .select("file_path", "f.repo_id", "f.content")
-    )
+def deliveries(files: DataFrame) -> DataFrame:
+    """Delivered files outside of excluded folders, where they lie or in enough tasks for parsing: file_path, repo_id, arrival, digest, content."""
+    kept = files.where(F.col("file_path").isNotNull() & ~dims.is_excluded(F.col("file_path")))
+    return spread(kept.select("file_path", "repo_id", F.col("loaded_at").alias("arrival"), F.xxhash64("content").alias("digest"), "content"))
 
 
-def _facts(path: str, repo: str | None, content: bytes | None) -> Iterator[tuple]:
+def _facts(path: str, repo: str | None, arrival, digest: int, content: bytes | None) -> Iterator[tuple]:
     lang = language_of(path)
     symbols, links = extract(path, content)
+    package = package_of(path, decode(content), lang)
     for s in symbols:
-        yield "node", path, repo, s.id, s.type, s.name, s.qualified_name, s.line_start, s.line_end, s.signature, s.docstring, s.tags, lang, None, None, None
+        yield "node", path, repo, s.id, s.type, s.name, s.qualified_name, s.line_start, s.line_end, s.signature, s.docstring, s.tags, lang, None, None, None, package, None, None, arrival, digest
     for x in links:
-        yield "link", path, repo, x.source, None, x.name, None, x.line, None, None, None, None, lang, x.kind, x.qualifier, x.module
+        yield "link", path, repo, x.source, None, x.name, None, x.line, None, None, None, None, lang, x.kind, x.qualifier, x.module, package, x.receiver, x.via, arrival, digest
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Nodes and raw references of all files in one pass."""
-    return _arrow(latest_files(files), _facts, FACTS, "file_path", "repo_id", "content")
+    """Nodes and raw references of all files in one pass, cut.
 
-
-def _pick(df: DataFrame, *key: str) -> DataFrame:
-    """The callable of a key if there is just one."""
-    return df.groupBy(*key).agg(F.min("id").alias("found"), F.count_distinct("id").alias("n"))
-
-
-def resolve_calls(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Calls and base classes to symbols, by the first rung of a ladder that holds.
-
-    A method of the own class (self, this), a symbol of the same file, an imported symbol (by the
-    module it comes from and its name, within the repository), the package that is imported from
-    outside, the only symbol of that name in the repository, else nothing. Each rung is an
-    equi-join; a call without rung stays a reference to `unresolved:<name>`.
+    Every delivery is parsed where it lies. Of several of one path that which arrived last counts
+    (at a tie the greatest digest); the facts of the others are taken out afterwards, so contents
+    are never shuffled to find it.
     """
-    symbols = nodes.where(F.col("type").isin("function", "method", "class", "test")).select("id", "name", "file_path", "repo_id", F.regexp_extract("id", r"::(.*)$", 1).alias("inside"), "qualified_name")
-    c = links.where(F.col("kind").isin("call", "inherits")).select(
-        F.col("id").alias("source"), "file_path", "repo_id", "name", "qualifier", "module", "kind", F.regexp_extract("id", r"::([^.]+)\.[^.]+$", 1).alias("own_class")
-    )
-    own = symbols.select("file_path", "inside", F.col("id").alias("own_id"))
-    c = c.withColumn("inside", F.when(F.col("qualifier").isin("self", "this", "cls", "base") & (F.col("own_class") != ""), F.concat_ws(".", "own_class", "name"))).join(own, ["file_path", "inside"], "left")
-    local = symbols.where(~F.contains("inside", F.lit("."))).select("file_path", F.col("inside").alias("name"), F.col("id").alias("local_id"))
-    c = c.join(local, ["file_path", "name"], "left").withColumn("local_id", F.when(F.col("qualifier").isNull(), F.col("local_id")))
-    tail = F.element_at(F.split(F.regexp_replace("module", "/", "."), r"\."), -1)
-    by_module = _pick(symbols.withColumn("stem", F.regexp_extract("file_path", r"([^/]+)\.\w+$", 1)), "repo_id", "stem", "name").select("repo_id", "stem", "name", F.when(F.col("n") == 1, F.col("found")).alias("imported_id"))
-    c = c.withColumn("stem", F.when(F.col("module").isNotNull(), tail)).join(by_module, ["repo_id", "stem", "name"], "left")
-    only = _pick(symbols, "repo_id", "name").where("n = 1").select("repo_id", "name", F.col("found").alias("only_id"))
-    c = c.join(only, ["repo_id", "name"], "left")
-    external = F.when(F.col("module").isNotNull() & F.col("imported_id").isNull(), F.concat(F.lit("external:"), F.regexp_replace("module", "/", "."), F.lit("."), F.col("name")))
-    ladder = [
-        (F.col("own_id"), "self_method_resolved", 0.90), (F.col("local_id"), "same_file_exact", 0.95), (F.col("imported_id"), "import_resolved", 0.90), (external, "external_package", 0.50), (F.col("only_id"), "name_match_candidate", 0.35),
-        (F.concat(F.lit("unresolved:"), F.col("name")), "unresolved", 0.20),
-    ]
-    target, resolution, confidence = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
-    for col, name, value in reversed(ladder):
-        target, resolution, confidence = F.coalesce(col, target), F.when(col.isNotNull(), name).otherwise(resolution), F.when(col.isNotNull(), value).otherwise(confidence)
-    kind = F.when(F.col("kind") == "call", "calls").otherwise("inherits")
-    return c.select("source", target.alias("target"), kind.alias("type"), confidence.alias("confidence"), resolution.alias("resolution"))
+    d = deliveries(files)
+    raw = cut(_arrow(d, _facts, f"{FACTS}, arrival {dict(d.dtypes)['arrival']}, digest bigint", "file_path", "repo_id", "arrival", "digest", "content"))
+    again = raw.where("record = 'node' and type = 'file'").groupBy("file_path").agg(F.max(F.struct("arrival", "digest")).alias("w"), F.count("*").alias("n")).where("n > 1").drop("n")
+    counts = F.col("w").isNull() | (F.col("arrival").eqNullSafe(F.col("w.arrival")) & (F.col("digest") == F.col("w.digest")))
+    return cut(raw.join(again, "file_path", "left").where(counts).drop("w", "arrival", "digest").select(*[c.split()[0] for c in FACTS.split(", ")]))
 
 
 def structural_edges(nodes: DataFrame) -> DataFrame:
-    """A file contains its functions and classes, a class its methods."""
+    """A file contains its functions and classes, a class its methods; each is defined in its file."""
     inside = F.regexp_extract("id", r"::(.*)$", 1)
     parent = F.when(F.contains(inside, F.lit(".")), F.regexp_extract("id", r"^(.*)\.[^.]+$", 1)).otherwise(F.col("file_path"))
-    return nodes.where("type <> 'file'").select(parent.alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"), F.lit(1.0).alias("confidence"), F.lit("exact_ast_match").alias("resolution"))
+    edge = lambda a, b, t: F.struct(a.alias("source"), b.alias("target"), F.lit(t).alias("type"))
+    both = nodes.where("type <> 'file'").select(F.inline(F.array(edge(parent, F.col("id"), "contains"), edge(F.col("id"), F.col("file_path"), "defined_in"))))
+    return both.select("source", "target", "type", F.lit(1.0).alias("confidence"), F.lit("exact_ast_match").alias("resolution"))
+
+
+#: How each framework's injected types and elements are resolved: in the repository, and else.
+_BY_NAME = {"spring": ("depends_on", "spring_di_constructor", 0.90), "nest": ("depends_on", "nestjs_injection_resolved", 0.88), "aspnet": ("depends_on", "aspnetcore_di_constructor", 0.88), "django": ("references", "django_view_heuristic", 0.65), "react": ("references", "jsx_component_resolved", 0.88)}
 
 
-def import_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A file imports the file of its repository that its import means (the only one of that stem), else an external module."""
-    files = nodes.where("type = 'file'").withColumn("stem", F.regexp_extract("file_path", r"([^/]+)\.\w+$", 1))
-    one = _pick(files, "repo_id", "stem").where("n = 1").select("repo_id", "stem", "found")
-    i = links.where("kind = 'import'").select(F.col("id").alias("source"), "repo_id", "module", F.element_at(F.split(F.regexp_replace("module", "/", "."), r"\."), -1).alias("stem"))
-    j = i.join(one, ["repo_id", "stem"], "left").where(F.col("found").isNull() | (F.col("found") != F.col("source")))
-    target = F.coalesce("found", F.concat(F.lit("external:"), F.regexp_replace("module", "/", ".")))
-    return j.select("source", target.alias("target"), F.lit("imports").alias("type"), F.when(F.col("found").isNotNull(), 0.9).otherwise(0.45).alias("confidence"), F.when(F.col("found").isNotNull(), "import_resolved").otherwise("external_module").alias("resolution"))
+def framework_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Injected types and elements to the only class, or for elements component, of that name in the repository; an ambiguous bean is a candidate."""
+    repo = F.coalesce("repo_id", F.lit(""))
+    by_name = nodes.where("type in ('class', 'function') and name rlike '^[A-Z]'").groupBy(repo.alias("repo_id"), "name").agg(F.min("id").alias("target"), F.count_distinct("id").alias("n"))
+    at = links.where("kind in ('depends', 'element')").select(F.col("id").alias("source"), repo.alias("repo_id"), "name", "via").join(by_name, ["repo_id", "name"])
+    kind, resolution, confidence = (F.element_at(F.create_map(*[F.lit(x) for k, v in _BY_NAME.items() for x in (k, v[i])]), F.col("via")) for i in range(3))
+    bean = (F.col("n") > 1) & (F.col("via") == "spring")
+    return at.select("source", "target", kind.alias("type"), F.when(bean, 0.45).otherwise(confidence).alias("confidence"), F.when(bean, "spring_bean_candidate").otherwise(resolution).alias("resolution"))
 
 
 def route_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,17 +98,41 @@ def route_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def test_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
-    """tested_by edges: a test calls the symbol .90, or its name begins with the symbol's .65; the stronger counts."""
+    """tested_by edges: a test calls the symbol .90, its name begins with the symbol's .65, or its file is named after the symbol's .55; the strongest counts."""
     tests = nodes.where("type = 'test'").select(F.col("id").alias("test"), "repo_id", "name")
     by_call = calls.where("type = 'calls'").join(tests.select(F.col("test").alias("source")), "source").where(~F.col("target").rlike("^(external|unresolved):")).select(F.col("target").alias("s"), F.col("source").alias("t"), F.lit(0.90).alias("c"), F.lit("direct_test_call").alias("r"))
     parts = tests.select("test", "repo_id", F.split(F.regexp_replace("name", "^test_", ""), "_").alias("p")).select("test", "repo_id", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k"))
     named = parts.select("test", "repo_id", "k", F.array_join(F.slice("p", F.lit(1), F.col("k")), "_").alias("name")).join(nodes.where("type in ('function', 'method')").select("repo_id", "name", "id"), ["repo_id", "name"])
     w = Window.partitionBy("test").orderBy(F.desc("k"), "id")
     by_name = named.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("id").alias("s"), F.col("test").alias("t"), F.lit(0.65).alias("c"), F.lit("test_name_heuristic").alias("r"))
-    best = by_call.unionByName(by_name).groupBy("s", "t").agg(F.max(F.struct("c", "r")).alias("b"))
+    stem = F.regexp_extract("file_path", r"([^/]+)\.\w+$", 1)
+    of_file = nodes.where("type = 'test'").select(F.col("id").alias("t"), "repo_id", F.regexp_extract(stem, r"^test_(.+)$|^(.+)_test$", 1).alias("a"), F.regexp_extract(stem, r"^(.+)_test$", 1).alias("z"))
+    of_file = of_file.select("t", "repo_id", F.when(F.col("a") != "", F.col("a")).when(F.col("z") != "", F.col("z")).alias("stem")).where("stem is not null")
+    modules = nodes.where("type in ('function', 'method', 'class')").select(F.col("id").alias("s"), "repo_id", stem.alias("stem"))
+    by_file = of_file.join(modules, ["repo_id", "stem"]).select("s", "t", F.lit(0.55).alias("c"), F.lit("test_file_heuristic").alias("r"))
+    best = by_call.unionByName(by_name).unionByName(by_file).groupBy("s", "t").agg(F.max(F.struct("c", "r")).alias("b"))
     return best.select(F.col("s").alias("source"), F.col("t").alias("target"), F.lit("tested_by").alias("type"), F.col("b.c").alias("confidence"), F.col("b.r").alias("resolution"))
 
 
+def graph_of(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of facts; all that follows parsing, and all of it joins."""
+    columns = ["id", "type", "name", "qualified_name", "file_path", "repo_id", "language_id", "line_start", "line_end", "signature", "docstring", "tags"]
+    declared = f.where("record = 'node'").groupBy("id").agg(F.min(F.struct("line_start", *[c for c in columns if c not in ("id", "line_start")], "package")).alias("n"))  # of several of one id the first in the file
+    full = cut(declared.select("id", *[f"n.{c}" for c in columns[1:]], "n.package"))
+    nodes, links = full.select(*columns), f.where("record = 'link'")
+    calls = cut(resolve(links, full).drop("rung"))
+    edges = calls
+    for more in (structural_edges(nodes), resolve_imports(links, nodes), route_edges(links, nodes), framework_edges(links, nodes), test_edges(nodes, calls)):
+        edges = edges.unionByName(more)
+    routes = links.where("kind = 'route'").groupBy(F.concat("file_path", F.lit("::route "), "name").alias("id")).agg(F.min(F.struct("line_start", "name", "file_path", "repo_id", "language_id")).alias("r"))
+    routes = routes.select(
+        "id", F.lit("route").alias("type"), "r.name", F.col("r.name").alias("qualified_name"), "r.file_path", "r.repo_id", "r.language_id", "r.line_start", F.col("r.line_start").alias("line_end"),
+        F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.array(F.lit("route")).alias("tags"),
+    )
+    best = edges.groupBy("source", "target", "type").agg(F.max(F.struct("confidence", "resolution")).alias("b")).select("source", "target", "type", "b.confidence", "b.resolution")
+    return nodes.unionByName(routes), best
+
+
 def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of source files.
 
@@ -143,23 +140,34 @@ def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     joins. Of equal edges (source, target, type) the one of greatest confidence counts. Files of
     unknown languages, empty and broken ones give at least their own node.
     """
-    f = cut(facts(files))
-    nodes = f.where("record = 'node'").select("id", "type", "name", "qualified_name", "file_path", "repo_id", "language_id", "line_start", "line_end", "signature", "docstring", "tags")
-    nodes = nodes.dropDuplicates(["id"])
-    links = f.where("record = 'link'")
-    calls = cut(resolve_calls(links, nodes))
-    edges = calls
-    for more in (structural_edges(nodes), import_edges(links, nodes), route_edges(links, nodes), test_edges(nodes, calls)):
-        edges = edges.unionByName(more)
-    routes = links.where("kind = 'route'").select(
-        F.concat("file_path", F.lit("::route "), "name").alias("id"), F.lit("route").alias("type"), "name", F.col("name").alias("qualified_name"), "file_path", "repo_id", "language_id", "line_start", F.col("line_start").alias("line_end"),
-        F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.array(F.lit("route")).alias("tags"),
-    ).dropDuplicates(["id"])
-    best = edges.groupBy("source", "target", "type").agg(F.max(F.struct("confidence", "resolution")).alias("b")).select("source", "target", "type", "b.confidence", "b.resolution")
-    return nodes.unionByName(routes), best
+    return graph_of(facts(files))
+
+
+def patch_graph(nodes: DataFrame, edges: DataFrame, stored: DataFrame, files: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One incremental step that ends where a full build would: nodes, edges and facts.
+
+    `stored` are the facts() of the graph. Only the files that came are parsed. References are
+    resolved within a repository, so those of the repositories that the step touches are resolved
+    again, against stored and new symbols alike; unchanged files in them may now mean a symbol that
+    came, or no longer one that went. Other repositories keep their nodes and edges as they are.
+    """
+    new = facts(files)
+    again = new.select("file_path").unionByName(removed.select("file_path")).distinct()
+    repo = F.coalesce("repo_id", F.lit("")).alias("repo")
+    touched = cut(new.select(repo).unionByName(stored.join(again, "file_path", "left_semi").select(repo)).distinct())
+    kept = stored.join(again, "file_path", "left_anti").select(*new.columns)
+    here = lambda df, how: df.join(touched, F.coalesce(df["repo_id"], F.lit("")) == touched["repo"], how)
+    n, e = graph_of(cut(here(kept, "left_semi").unionByName(new)))
+    gone = here(nodes, "left_semi").select(F.col("id").alias("source"))
+    others = edges.join(gone, "source", "left_anti").select(*e.columns)
+    return here(nodes, "left_anti").select(*n.columns).unionByName(n), others.unionByName(e), kept.unionByName(new)
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """file_path, sha256 and the four structural hashes of each file."""
-    schema = "file_path string, sha256 string, structural_hash string, symbols_hash string, imports_hash string, calls_hash string"
-    return _arrow(latest_files(files), lambda p, c: [(p, *fingerprint(p, c))], schema, "file_path", "content")
+    """file_path, sha256 and the four structural hashes of each file, of the delivery that arrived last."""
+    hashes = ["sha256", "structural_hash", "symbols_hash", "imports_hash", "calls_hash"]
+    d = deliveries(files)
+    schema = f"file_path string, arrival {dict(d.dtypes)['arrival']}, digest bigint, " + ", ".join(f"{h} string" for h in hashes)
+    each = _arrow(d, lambda p, a, g, c: [(p, a, g, *fingerprint(p, c))], schema, "file_path", "arrival", "digest", "content")
+    last = each.groupBy("file_path").agg(F.max(F.struct("arrival", "digest", *hashes)).alias("r"))
+    return last.select("file_path", *[f"r.{h}" for h in hashes])

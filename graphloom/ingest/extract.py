@@ -35,6 +35,16 @@ class Link(NamedTuple):
     qualifier: str | None  # what stands before the name: self, an alias, a type
     module: str | None  # the module or path an imported name comes from
     line: int
+    receiver: str | None = None  # the type of the qualifier, where the source tells
+    via: str | None = None  # how it tells: param, local, module, self_attr, ctor, receiver
+
+
+def package_of(path: str, text: str | None, lang: str | None) -> str | None:
+    """What files share whose names need no import: a Java package, a C# namespace, a Go folder."""
+    if lang == "go":
+        return path.rsplit("/", 1)[0].replace("/", ".") if "/" in path else ""
+    m = re.search({"java": r"^\s*package\s+([\w.]+)\s*;", "csharp": r"^\s*namespace\s+([\w.]+)"}.get(lang or "", r"(?!)"), text or "", re.M)
+    return m[1] if m else None
 
 
 def module_of(path: str) -> str:
@@ -53,6 +63,7 @@ def extract(path: str, content: bytes | None) -> tuple[list[Symbol], list[Link]]
         symbols, links = _python(path, text)
     else:
         symbols, links = _braced(path, text.replace("\r\n", "\n").replace("\r", "\n"), lang)
+    links += injected(path, text, lang) + components(path, text, lang, symbols)
     links += [Link(path, "route", f"{v} {p}", h, None, n) for v, p, h, n in routes(path, text, lang)]
     return [own, *symbols], links
 
@@ -104,6 +115,40 @@ def _python(path: str, text: str) -> tuple[list[Symbol], list[Link]]:
                 imported[a.asname or a.name] = (source, a.name)
                 links.append(Link(path, "import", a.name, None, source, node.lineno))
 
+    def made(value: ast.AST | None) -> str | None:
+        """The class that a value is an instance of: the name before the parentheses."""
+        return value.func.id if isinstance(value, ast.Call) and isinstance(value.func, ast.Name) and value.func.id[:1].isupper() else None
+
+    def hinted(annotation: ast.AST | None) -> str | None:
+        if isinstance(annotation, ast.Constant) and isinstance(annotation.value, str):
+            return annotation.value if annotation.value.isidentifier() else None
+        if isinstance(annotation, ast.BinOp):  # X | None
+            return hinted(annotation.left)
+        if isinstance(annotation, ast.Subscript) and isinstance(annotation.value, ast.Name) and annotation.value.id == "Optional":
+            return hinted(annotation.slice)
+        return annotation.id if isinstance(annotation, ast.Name) and annotation.id[:1].isupper() else None
+
+    def assigned(body: ast.AST) -> Iterator[tuple[ast.AST, str]]:
+        for n in ast.walk(body):
+            if isinstance(n, ast.Assign) and (t := made(n.value)):
+                yield from ((x, t) for x in n.targets)
+            elif isinstance(n, ast.AnnAssign) and (t := hinted(n.annotation) or made(n.value)):
+                yield n.target, t
+
+    of_module = {x.id: t for n in tree.body if isinstance(n, (ast.Assign, ast.AnnAssign)) for x, t in assigned(n) if isinstance(x, ast.Name)}
+    of_self: dict[str, str] = {}
+    of_param: dict[str, str] = {}
+    of_local: dict[str, str] = {}
+
+    def typed(base: str) -> tuple[str, str] | None:
+        """The class of what stands before a method, and how the source tells."""
+        if base.startswith("self.") and base[5:] in of_self:
+            return of_self[base[5:]], "self_attr"
+        for known, how in ((of_param, "param"), (of_local, "local"), (of_module, "module")):
+            if base in known:
+                return known[base], how
+        return None
+
     def refer(node: ast.Call, source: str) -> None:
         f = node.func
         if isinstance(f, ast.Name):
@@ -111,13 +156,17 @@ def _python(path: str, text: str) -> tuple[list[Symbol], list[Link]]:
             links.append(Link(source, "call", name or f.id, None, module, node.lineno))
         elif isinstance(f, ast.Attribute):
             if isinstance(f.value, ast.Call) and isinstance(f.value.func, ast.Name):
-                links.append(Link(source, "call", f.attr, f.value.func.id, imported.get(f.value.func.id, (None,))[0], node.lineno))
+                c = f.value.func.id
+                links.append(Link(source, "call", f.attr, c, imported.get(c, (None,))[0], node.lineno, imported.get(c, (None, c))[1] or c, "ctor"))
                 return
             base = dotted(f.value)
             if base is None:
                 return
+            if (t := typed(base)) is not None:
+                links.append(Link(source, "call", f.attr, base, imported.get(t[0], (None,))[0], node.lineno, imported.get(t[0], (None, t[0]))[1] or t[0], t[1]))
+                return
             head = base.split(".")[0]
-            module = ".".join(x for x in imported[head] if x) if head in imported else None
+            module = ".".join([*(x for x in imported[head] if x), *base.split(".")[1:]]) if head in imported else None
             links.append(Link(source, "call", f.attr, base, module, node.lineno))
 
     def visit(node: ast.AST, owner: str, class_name: str | None) -> None:
@@ -128,10 +177,23 @@ def _python(path: str, text: str) -> tuple[list[Symbol], list[Link]]:
                 tags = sorted({d.split(".")[-1] for d in map(dotted, [x.func if isinstance(x, ast.Call) else x for x in child.decorator_list]) if d})
                 head = ("async def " if isinstance(child, ast.AsyncFunctionDef) else "def ") + f"{child.name}({ast.unparse(child.args)})" + (f" -> {ast.unparse(child.returns)}" if child.returns else "")
                 symbols.append(Symbol(f"{path}::{q}", "test" if test else "method" if class_name else "function", child.name, f"{mod}.{q}", child.lineno, child.end_lineno, head, ast.get_docstring(child), tags))
+                of_param.clear()
+                of_local.clear()
+                a = child.args
+                of_param.update({x.arg: t for x in (*a.posonlyargs, *a.args, *a.kwonlyargs) if (t := hinted(x.annotation))})
+                of_local.update({x.id: t for x, t in assigned(child) if isinstance(x, ast.Name)})
                 for c in ast.walk(child):
                     if isinstance(c, ast.Call):
                         refer(c, f"{path}::{q}")
+                of_param.clear()
+                of_local.clear()
             elif isinstance(child, ast.ClassDef) and owner == path:
+                of_self.clear()
+                of_self.update({x.attr: t for x, t in assigned(child) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self"})
+                for fn in child.body:  # self.x = x with a typed parameter
+                    if isinstance(fn, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        hints = {x.arg: t for x in fn.args.args if (t := hinted(x.annotation))}
+                        of_self.update({x.attr: hints[n.value.id] for n in ast.walk(fn) if isinstance(n, ast.Assign) and isinstance(n.value, ast.Name) and n.value.id in hints for x in n.targets if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self"})
                 bases = [b for b in map(dotted, child.bases) if b]
                 symbols.append(Symbol(f"{path}::{child.name}", "class", child.name, f"{mod}.{child.name}", child.lineno, child.end_lineno, f"class {child.name}", ast.get_docstring(child), _class_tags(path, child.name, bases)))
                 links.extend(Link(f"{path}::{child.name}", "inherits", b.split(".")[-1], None, imported.get(b.split(".")[0], (None,))[0], child.lineno) for b in bases)
@@ -174,7 +236,8 @@ _IMPORT = {
     "javascript": r"^\s*(?:import|export)\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s+as\s+([\w$]+))?\s*(?:from\s*)?['\"]([^'\"]+)['\"]|(?:const|let|var)\s+(?:([\w$]+)|\{([^}]*)\})\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)",
 }
 _IMPORT["typescript"] = _IMPORT["javascript"]
-_CALL_WORDS = frozenset("if for while switch catch return new throw else do try function func using lock foreach await typeof sizeof nameof super this class def range map make len append panic case select go defer synchronized assert".split())
+_CALL_WORDS = frozenset("if for while switch catch return new throw else do try function func using lock foreach await typeof sizeof nameof super this class def case synchronized assert".split())
+_GO_WORDS = frozenset("range map make len cap append panic select go defer".split())
 
 
 def _blank(text: str, tokens: list) -> str:
@@ -195,14 +258,16 @@ def _braced(path: str, text: str, lang: str) -> tuple[list[Symbol], list[Link]]:
     mod = module_of(path)
     symbols: list[Symbol] = []
     links: list[Link] = []
+    bases: list[tuple[str, str, int]] = []
     for m in re.finditer(_CLASS[lang], bare):
         kind, name = (m[2], m[1]) if lang == "go" else (m[1], m[2])
         tags = [kind] if kind not in ("class",) else []
         symbols.append(Symbol(f"{path}::{name}", "class", name, f"{mod}.{name}", line(m.start()), None, m[0].rstrip(" {;").strip(), None, sorted(set(tags + _class_tags(path, name, [])))))
         if lang != "go" and m[3]:
             for base in re.findall(r"[A-Za-z_$][\w$.]*", re.sub(r"<[^<>]*>|\b(?:extends|implements|permits)\b|:", " ", m[3])):
-                links.append(Link(f"{path}::{name}", "inherits", base.split(".")[-1], None, None, line(m.start())))
+                bases.append((f"{path}::{name}", base.split(".")[-1], line(m.start())))
     imported = _imports(path, text, lang, links, line)
+    links.extend(Link(i, "inherits", base, None, imported.get(base), n) for i, base, n in bases)
     spans = []
     for f in _once(functions(text, lang)):
         short = f.name.rsplit(".", 1)[-1]
@@ -210,14 +275,19 @@ def _braced(path: str, text: str, lang: str) -> tuple[list[Symbol], list[Link]]:
         last = line(max(f.start, f.end - 1))
         symbols.append(Symbol(f"{path}::{f.name}", "test" if test else "method" if "." in f.name else "function", short, f"{mod}.{f.name}", f.line, last, text[f.start : f.end].split("{", 1)[0].split("=>", 1)[0].strip(), f.doc, []))
         spans.append((f.start, f.end, f"{path}::{f.name}", short))
+    receivers = {f"{path}::{m[2]}.{m[3]}": (m[1], m[2]) for m in re.finditer(r"\bfunc\s*\(\s*(\w+)\s+\*?(\w+)(?:\[[^\]]*\])?\s*\)\s*(\w+)", bare)} if lang == "go" else {}
     for m in re.finditer(r"(?:([\w$]+(?:\s*\??\.\s*[\w$]+)*)\s*\??\.\s*)?([A-Za-z_$][\w$]*)\s*(?:<[\w<>, .]*>)?\(", bare):
         name = m[2]
         owner = next((s for s in spans if s[0] <= m.start() < s[1]), None)
-        if name in _CALL_WORDS or owner and name == owner[3] and m[1] is None and bare[owner[0] : m.start(2)].count("(") == 0:
+        if name in _CALL_WORDS or lang == "go" and name in _GO_WORDS or owner and name == owner[3] and m[1] is None and bare[owner[0] : m.start(2)].count("(") == 0:
             continue
         qualifier = re.sub(r"\s", "", m[1]) if m[1] else None
         head = (qualifier or name).split(".")[0]
-        links.append(Link(owner[2] if owner else path, "call", name, qualifier, imported.get(head), line(m.start(2))))
+        recv = receivers.get(owner[2]) if owner and lang == "go" else None
+        if recv and qualifier == recv[0]:
+            links.append(Link(owner[2], "call", name, qualifier, None, line(m.start(2)), recv[1], "receiver"))
+        else:
+            links.append(Link(owner[2] if owner else path, "call", name, qualifier, imported.get(head), line(m.start(2))))
     return symbols, links
 
 
@@ -294,16 +364,70 @@ def routes(path: str, text: str, lang: str) -> Iterator[tuple[str, str, str | No
         def full(var: str, p: str, depth: int = 0) -> str:
             return full(groups[var][0], join(groups[var][1], p), depth + 1) if var in groups and depth < 9 else join("", p)
 
-        for m in re.finditer(r"\b(\w+)\.(GET|POST|PUT|PATCH|DELETE|Any)\(\s*\"([^\"]*)\"\s*,(?:.*,)?\s*([\w.]+)\s*\)", text):
+        for m in re.finditer(r"\b(\w+)\.(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|Any)\(\s*\"([^\"]*)\"\s*,(?:.*,)?\s*([\w.]+)\s*\)", text):
             yield m[2].upper(), full(m[1], m[3]), m[4], at(m.start())
+        for m in re.finditer(r"\b(\w+)\.Handle\(\s*\"([A-Z]+)\"\s*,\s*\"([^\"]*)\"\s*,(?:.*,)?\s*([\w.]+)\s*\)", text):
+            yield m[2], full(m[1], m[3]), m[4], at(m.start())
     elif lang == "csharp":
         c = re.search(r"\bclass\s+(\w+?)(?:Controller)?\b\s*(?::|\{)", text)
         b = re.search(r"\[Route\(\s*\"([^\"]*)\"", text)
         base = re.sub(r"\[controller\]", c[1].lower() if c else "", b[1]) if b else ""
         for m in re.finditer(r"\[Http(Get|Post|Put|Patch|Delete)(?:\(\s*\"([^\"]*)\"\s*\))?\][^;{]*?\b(\w+)\s*\(", text):
             yield m[1].upper(), join(base, m[2] or ""), m[3], at(m.start())
-        for m in re.finditer(r"\.Map(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"\s*,\s*(?:async\s*)?([\w.]+)?", text):
-            yield m[1].upper(), join("", m[2]), m[3], at(m.start())
+        mapped = {m[1]: m[2] for m in re.finditer(r"(\w+)\s*=\s*\w+\.MapGroup\(\s*\"([^\"]*)\"", text)}
+        for m in re.finditer(r"(\w+)?\.Map(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"\s*,\s*(?:async\s*)?([\w.]+)?", text):
+            yield m[2].upper(), join(mapped.get(m[1] or "", ""), m[3]), m[4], at(m.start())
+
+
+#: Types that a framework hands in and nobody declares.
+_HANDED_IN = frozenset("String string int long bool boolean Integer Long Boolean double decimal IConfiguration ILogger".split())
+
+
+def injected(path: str, text: str, lang: str) -> list[Link]:
+    """What constructors of Spring, Nest and ASP.NET classes are handed in: depends_on links to the types."""
+    out = []
+    at = lambda p: text.count("\n", 0, p) + 1
+    if lang == "java" and re.search(r"@(?:RestController|Controller|Service|Repository|Component)\b", text):
+        for c in re.finditer(r"\bclass\s+(\w+)", text):
+            m = re.compile(rf"\bpublic\s+{c[1]}\s*\(([^)]*)\)|@Autowired\s+(?:private\s+)?([A-Z]\w*(?:<[^>]*>)?\s+\w+)").search(text, c.end())
+            for t in re.findall(r"([A-Z]\w*)(?:<[^>]*>)?\s+\w+", (m[1] or m[2] or "") if m else ""):
+                out.append(Link(f"{path}::{c[1]}", "depends", t, None, None, at(m.start()), None, "spring"))
+    elif lang == "typescript" and re.search(r"@(?:Controller|Injectable)\(", text):
+        for c in re.finditer(r"\bclass\s+(\w+)", text):
+            m = re.compile(r"\bconstructor\s*\(([^)]*)\)").search(text, c.end())
+            for t in re.findall(r":\s*([A-Z]\w*)", m[1] if m else ""):
+                out.append(Link(f"{path}::{c[1]}", "depends", t, None, None, at(m.start()), None, "nest"))
+    elif lang == "csharp":
+        for c in re.finditer(r"\bclass\s+(\w+(?:Controller|Service|Repository|Handler))\b", text):
+            m = re.compile(rf"\bpublic\s+{c[1]}\s*\(([^)]*)\)").search(text, c.end())
+            for t in re.findall(r"([A-Z]\w*)(?:<[^>]*>)?\s+\w+", m[1] if m else ""):
+                out.append(Link(f"{path}::{c[1]}", "depends", t, None, None, at(m.start()), None, "aspnet"))
+    elif lang == "python":
+        for c in re.finditer(r"^@admin\.register\((\w+)[^)]*\)\s*\n(?:@[^\n]*\n)*class\s+(\w+)", text, re.M):
+            out.append(Link(f"{path}::{c[2]}", "depends", c[1], None, None, at(c.start()), None, "django"))
+    return [x for x in out if x.name not in _HANDED_IN]
+
+
+def components(path: str, text: str, lang: str, symbols: list[Symbol]) -> list[Link]:
+    """Components (capitalised functions and classes) that a component's source uses as elements, once each."""
+    if lang not in ("javascript", "typescript") or not path.endswith((".jsx", ".tsx", ".js")):
+        return []
+    lines, out = text.splitlines(), []
+    for s in symbols:
+        if s.type in ("function", "class") and s.name[:1].isupper() and s.line_start:
+            body = "\n".join(lines[s.line_start - 1 : s.line_end or len(lines)])
+            for child in dict.fromkeys(re.findall(r"<([A-Z]\w*)[\s/>]", body)):
+                if child != s.name:
+                    out.append(Link(s.id, "element", child, None, None, s.line_start, None, "react"))
+    return out
+
+
+def middleware(text: str) -> Iterator[tuple[str, str]]:
+    """Gin and Hertz: route path and each handler between the path and the last one."""
+    for m in re.finditer(r"\b\w+\.(?:GET|POST|PUT|PATCH|DELETE|Any|Handle|HEAD|OPTIONS)\(\s*(?:\"[A-Z]+\"\s*,\s*)?\"([^\"]*)\"\s*,(.*)\)", text):
+        for h in [x.strip() for x in m[2].split(",")][:-1]:
+            if re.fullmatch(r"[\w.]+(?:\(\))?", h):
+                yield m[1], h.rstrip("()")
 
 
 # Fingerprints

@@ -73,22 +73,3 @@ def remove_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[
     kept = nodes.join(gone, "id", "left_anti")
     e = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
     return kept, e.select(*edges.columns)
-
-
-def patch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One incremental step: files removed or indexed again go with their edges, then new rows come.
-
-    Edges are keyed by (source, target, type), not by running numbers, so a patch never replaces
-    an unrelated edge.
-    """
-    again = new_nodes.select("file_path").where("file_path is not null").unionByName(removed.select("file_path")).distinct()
-    kept_nodes, _ = remove_files(nodes, edges, again)
-    n = upsert(kept_nodes, new_nodes, "id")
-    from_again = nodes.join(again, "file_path", "left_semi").select(F.col("id").alias("source"))
-    e = edges.join(from_again, "source", "left_anti").select(*edges.columns)
-    key = ["source", "target", "type"]
-    e = e.join(new_edges.select(*key).distinct(), key, "left_anti").select(*edges.columns).unionByName(new_edges, allowMissingColumns=True)
-    ids = n.select("id")
-    alive = e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    alive = alive.where(F.col("target").startswith("external:")).unionByName(alive.where(~F.col("target").startswith("external:")).join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*alive.columns))
-    return n, alive.select(*e.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
-from graphloom.ingest.build import build_graph, facts, fingerprints
+from graphloom.ingest.build import build_graph, facts, fingerprints, graph_of, patch_graph
 from graphloom.runtime import table
 
 
@@ -22,6 +22,24 @@ def ingest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_graph(_files(spark, sf_dir))[1].groupBy("type", "resolution").agg(F.count("*").alias("n"))
 
 
+def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last index run of each repository as one incremental step: rows in which the patched graph differs from a full build, none."""
+    files = _files(spark, sf_dir)
+    last = files.groupBy("repo_id").agg(F.max("batch_no").alias("last"))
+    marked = files.join(last, F.col("last").isNotNull() & files["repo_id"].eqNullSafe(last["repo_id"]), "left").select(*[files[c] for c in files.columns], "last")
+    before, later = marked.where("batch_no < last"), marked.where("batch_no >= last or last is null or batch_no is null")
+    stored = facts(before)
+    n, e = graph_of(stored)
+    patched = patch_graph(n, e, stored, later, later.select("file_path").limit(0))
+    full = build_graph(files)
+    out = None
+    for name, a, b in (("nodes", patched[0], full[0]), ("edges", patched[1], full[1])):
+        differ = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_differing"))
+        one = differ.select(F.lit(name).alias("of"), "n_differing")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def structural_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_files(spark, sf_dir))
 
@@ -38,9 +56,10 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where(F.col("language").isNotNull() & ~dims.is_excluded(F.col("file_path"))).groupBy("repo_id", "language").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_symbols, ingest_graph, structural_fingerprints, content_hashes, scanned_files)}
+QUERIES = {f.__name__: f for f in (ingest_symbols, ingest_graph, incremental_equals_full, structural_fingerprints, content_hashes, scanned_files)}
 _EXT = " ".join(f"when '{x}' then '{lang}'" for x, lang in dims.EXTENSIONS.items())
 ORACLE = {
+    "incremental_equals_full": "select 'nodes' as of, 0::bigint n_differing union all select 'edges', 0",
     "content_hashes": "select file_path, sha256(content) sha256, octet_length(content)::bigint n_bytes from source_files qualify row_number() over (partition by file_path order by loaded_at desc nulls last) = 1",
     "scanned_files": f"""select repo_id, language, count(*) n_files from (select distinct file_path, repo_id, case lower(regexp_extract(file_path, '[.]([^./]+)$', 1)) {_EXT} end as language from source_files)
   where language is not null and not regexp_matches(file_path, '(^|/)({"|".join(w.replace(".", "[.]") for w in dims.EXCLUDED_FOLDERS)})/') group by all""",

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.functions.keys import clean_id, edge_type
-from graphloom.ingest.build import build_graph
-from graphloom.sources.tables import apply_patch, write_graph
+from graphloom.sources.tables import apply_files
 
 FILE_SCHEMA = "file_path string, repo_id string, batch_no int, modification_time timestamp_ntz, length bigint, content binary, loaded_at timestamp_ntz"
 
@@ -19,20 +16,18 @@ def follow_files(spark: SparkSession, source: str, graph: str, checkpoint: str,
     """Apply each micro-batch of delivered source files (Parquet) to the graph in a folder.
 
     A micro-batch is what arrived since the last one, so it debounces by itself. A file with null
-    content counts as removed. Without `every` what is there is taken and the query ends.
+    content counts as removed. References are resolved against the stored graph as well, so the
+    edges are those of a full build; a batch that is delivered again after a failure changes
+    nothing, since its number is stored with the graph. Without `every` what is there is taken and the query ends.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, no: int) -> None:
         files = batch.select("file_path", "repo_id", "content", "loaded_at")
         if files.isEmpty():
             return
-        last = files.groupBy("file_path").agg(F.max(F.struct("loaded_at", "content")).alias("f"))
-        removed = last.where("f.content is null").select("file_path")
-        nodes, edges = build_graph(files.join(removed, "file_path", "left_anti"))
-        if os.path.isdir(graph):
-            apply_patch(spark, graph, nodes, edges, removed)
-        else:
-            write_graph(nodes, edges, graph)
+        last = files.groupBy("file_path").agg(F.max(F.struct("loaded_at", F.col("content").isNull().alias("gone"))).alias("f"))
+        removed = last.where("f.gone").select("file_path")
+        apply_files(spark, graph, files.join(removed, "file_path", "left_anti"), removed, no)
 
     stream = spark.readStream.schema(FILE_SCHEMA).parquet(source)
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

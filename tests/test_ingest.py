@@ -42,7 +42,7 @@ def test_python_extraction():
     assert [(s.type, s.name) for s in symbols] == [("file", "main.py"), ("class", "Service"), ("method", "run"), ("method", "check"), ("function", "helper"), ("test", "test_helper")]
     assert symbols[1].docstring == "Serves."
     calls = {(x.source.split("::")[-1], x.name, x.qualifier, x.module) for x in links if x.kind == "call"}
-    assert {("Service.run", "check", "self", None), ("Service.run", "save", None, "lib.store"), ("helper", "Store", None, "lib.store"), ("Service.run", "join", "os.path", "os")} <= calls
+    assert {("Service.run", "check", "self", None), ("Service.run", "save", None, "lib.store"), ("helper", "Store", None, "lib.store"), ("Service.run", "join", "os.path", "os.path")} <= calls
 
 
 def test_other_languages():
@@ -83,10 +83,10 @@ def test_build_resolves_by_joins(spark):
     n, e = build_graph(files(spark, {"app/main.py": APP.encode(), "lib/store.py": STORE.encode(), "empty.py": b"", "none.py": None, "node_modules/x.js": b"function f() {}"}))
     got = {(r["source"].split("/")[-1], r["target"].split("/")[-1], r["type"]): r["resolution"] for r in e.collect()}
     assert got[("main.py::Service.run", "main.py::Service.check", "calls")] == "self_method_resolved"
-    assert got[("main.py::Service.run", "store.py::save", "calls")] == "import_resolved"
-    assert got[("main.py::helper", "store.py::Store", "calls")] == "import_resolved"
+    assert got[("main.py::Service.run", "store.py::save", "calls")] == "imported_function_exact"
+    assert got[("main.py::helper", "store.py::Store", "calls")] == "constructor_call_resolved"
     assert got[("main.py::Service.check", "main.py::helper", "calls")] == "same_file_exact"
-    assert got[("main.py::Service.run", "external:os.join", "calls")] == "external_package"
+    assert got[("main.py::Service.run", "external:os.path.join", "calls")] == "external_package"
     assert got[("main.py", "store.py", "imports")] == "import_resolved"
     assert got[("main.py::helper", "main.py::test_helper", "tested_by")] == "direct_test_call"
     assert got[("main.py::Service", "main.py::Service.run", "contains")] == "exact_ast_match"
