@@ -25,8 +25,8 @@ def ingest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last index run of each repository as one incremental step: rows in which the patched graph differs from a full build, none."""
     files = _files(spark, sf_dir)
-    last = files.groupBy("repo_id").agg(F.max("batch_no").alias("last"))
-    marked = files.join(last, F.col("last").isNotNull() & files["repo_id"].eqNullSafe(last["repo_id"]), "left").select(*[files[c] for c in files.columns], "last")
+    last = files.groupBy(F.col("repo_id").alias("of")).agg(F.max("batch_no").alias("last"))
+    marked = files.join(last, F.col("repo_id").eqNullSafe(F.col("of")), "left")
     before, later = marked.where("batch_no < last"), marked.where("batch_no >= last or last is null or batch_no is null")
     stored = facts(before)
     n, e = graph_of(stored)
