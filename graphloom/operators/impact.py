@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
+from graphloom.operators import search
 from graphloom.operators.traversal import key, named, names, reach, steps
 from graphloom.runtime import cut
 
@@ -62,20 +63,34 @@ def reached_nodes(pairs: DataFrame, starts: DataFrame, nodes: DataFrame, min_con
 
 
 def risk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
-    """Risk of each start by ordered rules over its path, its tests and how many call it."""
-    counted = found.where(F.col("node_type").isin(*dims.CALLABLES)).groupBy("root_id").agg(F.count_if(F.col("relation") == "caller").alias("n_callers"), F.count_if(F.col("relation") == "callee").alias("n_callees"))
-    tests = edges.where("type = 'tested_by'").groupBy(F.col("source").alias("root_id")).agg(F.count_distinct("target").alias("n_tests"))
+    """Risk of each start, the first rule that holds: sensitive, untested, writing and called by three: critical; sensitive, an interface or called by five: high; any caller or callee: medium; else low.
+
+    What is sensitive or writes is told by the path, for routes also by the path that they serve.
+    A symbol is tested if an edge says so, a test calls it, or a test is among its callers. A start
+    that is no node has the risk `unknown`.
+    """
+    callable_ = F.col("node_type").isin(*dims.CALLABLES)
+    counted = found.groupBy("root_id").agg(
+        F.count_if(callable_ & (F.col("relation") == "caller")).alias("n_callers"), F.count_if(callable_ & (F.col("relation") == "callee")).alias("n_callees"), F.count_if((F.col("node_type") == "test") & (F.col("relation") == "caller")).alias("n_upstream")
+    )
+    tests = nodes.where("type = 'test'").select(F.col("id").alias("source"))
+    linked = edges.where("type = 'tested_by'").join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("root_id"), F.col("target").alias("test"))
+    calling = edges.where("type = 'calls'").join(tests, "source", "left_semi").select(F.col("target").alias("root_id"), F.col("source").alias("test"))
+    n_tests = linked.unionByName(calling).groupBy("root_id").agg(F.count_distinct("test").alias("n_tests"))
     j = (
-        starts.join(nodes.select(F.col("id").alias("root_id"), "type", "name", "file_path"), "root_id")
+        starts.join(nodes.select(F.col("id").alias("root_id"), "type", "name", "file_path", "tags"), "root_id", "left")
         .join(counted, "root_id", "left")
-        .join(tests, "root_id", "left")
-        .fillna(0, ["n_callers", "n_callees", "n_tests"])
+        .join(n_tests, "root_id", "left")
+        .fillna(0, ["n_callers", "n_callees", "n_upstream", "n_tests"])
     )
     path = F.col("file_path")
-    sensitive, api = dims.has_word(path, dims.SENSITIVE_WORDS), F.coalesce(F.contains(F.lower(path), F.lit("/api/")), F.lit(False)) | (F.col("type") == "route")
-    mutates = dims.has_word(path, dims.MUTATION_WORDS) | dims.has_word(F.col("name"), dims.MUTATION_WORDS)
+    route = (F.col("type") == "route") | F.coalesce(F.array_contains("tags", "route"), F.lit(False))
+    sensitive = dims.has_word(path, dims.SENSITIVE_WORDS) | (route & dims.has_word(F.col("name"), dims.SENSITIVE_WORDS))
+    api = F.coalesce(F.contains(F.lower(path), F.lit("/api/")), F.lit(False)) | F.coalesce(route, F.lit(False))
+    tested = F.col("n_tests") + F.col("n_upstream") > 0
     level = (
-        F.when(sensitive & (F.col("n_tests") == 0) & (F.col("n_callers") >= 3) & mutates, "critical")
+        F.when(F.col("type").isNull(), "unknown")
+        .when(sensitive & ~tested & (F.col("n_callers") >= 3) & dims.has_word(path, dims.MUTATION_WORDS), "critical")
         .when(sensitive | api, "high")
         .when(F.col("n_callers") >= 5, "high")
         .when(F.col("n_callers") + F.col("n_callees") > 0, "medium")
@@ -84,6 +99,16 @@ def risk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, found: DataFrame
     return j.select("root_id", level.alias("risk"), "n_callers", "n_callees", "n_tests")
 
 
+def external_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per symbol the other ends of its calls that are no node, an external symbol, or reached by a resolution that blocks traversal: once each, the first edge."""
+    calls = edges.where("type = 'calls'")
+    ends = calls.select(F.inline(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other"), F.lit(0).alias("way")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"), F.lit(1).alias("way")))), "edge_id", "confidence", "resolution")
+    j = ends.join(nodes.select("id"), "id", "left_semi").join(nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type")), "other", "left")
+    out = j.where(F.col("other_type").isNull() | (F.col("other_type") == "external_symbol") | dims.blocks_traversal(F.col("resolution")))
+    one = out.groupBy("id", "other").agg(F.min(F.struct("way", "edge_id", "confidence", "resolution")).alias("e"))
+    return one.select("id", "other", F.when(F.col("e.way") == 0, "target").otherwise("source").alias("role"), "e.confidence", F.coalesce("e.resolution", F.lit("unknown")).alias("resolution"), dims.tier(F.col("e.resolution")).alias("category"))
+
+
 def impact_files(found: DataFrame) -> DataFrame:
     """Files with confirmed impact per start."""
     return found.where("confirmed and file_path is not null").groupBy("root_id", "file_path").agg(F.min("distance").alias("distance"), F.count_distinct("id").alias("n_symbols"))
@@ -107,14 +132,50 @@ def related_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("id", "test_id", F.when(F.col("b.way") == 0, "tested_by").otherwise("calls").alias("via"), (-F.col("b.c")).alias("confidence"))
 
 
-def context_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Score of each symbol as an item of a context: relevance of its documentation, importance, confidence, tests, and what it costs."""
+#: What each relation to the entry adds, and how much each importance weighs.
+RELATION_IMPACT = {"entry_point": 1.0, "callee": 0.8, "model": 0.7, "config": 0.7, "caller": 0.6, "store": 0.6, "test": 0.4}
+IMPORTANCE = {"critical": 1.0, "high": 0.85, "medium": 0.6, "low": 0.3}
+
+
+def item_score(task: str, relation: Column, importance: Column, confidence: Column, distance: Column) -> Column:
+    """Score of a node as an item of a context: .35 relevance, .2 importance, .15 confidence, .15 relation, .05 for a test, less .05 for distance and .05 for length; 0 to 1."""
+    pick = lambda table, c, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(other))
+    effect = pick(RELATION_IMPACT, relation, 0.5)
+    effect = F.when(F.array_contains("tags", "route"), F.least(effect + 0.1, F.lit(1.0))).otherwise(effect)
+    relevance, _ = search.relevance_parts(task)
+    raw = (
+        relevance * 0.35 + pick(IMPORTANCE, importance, 0.5) * 0.20 + confidence * 0.15 + effect * 0.15 + F.when(F.col("type") == "test", 0.05).otherwise(0.0)
+        - F.least(distance / 5.0, F.lit(1.0)) * 0.05 - F.least(F.coalesce(F.length("code_preview"), F.lit(0)) / 2000.0, F.lit(1.0)) * 0.05
+    )
+    return F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)) + 1e-9, 4)
+
+
+def context_items(nodes: DataFrame, edges: DataFrame, entries: DataFrame, task: str) -> DataFrame:
+    """What surrounds the entries of a task, once each, with its relation, tier and score.
+
+    `entries` has id. Callees, callers and tests one step away, and the models, configurations and
+    stores among the ends of any edge that begins at an entry. The nearest and surest relation
+    counts. Tiers, in order: sure callees (.75), tests, models and the like, other, low confidence.
+    """
+    e = edges.join(entries.select(F.col("id").alias("entry")), (F.col("source") == F.col("entry")) | (F.col("target") == F.col("entry")))
+    out = F.col("source") == F.col("entry")
+    other = F.when(out, F.col("target")).otherwise(F.col("source"))
+    near = e.select(other.alias("id"), "type", out.alias("out"), "confidence").join(entries.select("id"), "id", "left_anti").withColumnRenamed("type", "edge")
+    n = near.join(nodes, "id")
+    tag = lambda t: F.array_contains("tags", t)
+    kind = F.when(tag("model"), "model").when(tag("config"), "config").when(tag("store") | tag("persistence"), "store")
+    relation = F.when((F.col("edge") == "tested_by") | (F.col("type") == "test"), "test").when((F.col("type") == "class") & kind.isNotNull(), kind).when((F.col("edge") == "calls") & F.col("out"), "callee").when(F.col("edge") == "calls", "caller")
+    n = n.withColumn("relation", relation).where("relation is not null")
+    importance = F.when((F.col("relation") == "callee") & (F.col("confidence") >= 0.75), "high").when(F.col("relation").isin("callee", "test"), "medium").otherwise("low")
+    n = n.withColumn("importance", importance).withColumn("score", item_score(task, F.col("relation"), importance, F.col("confidence"), F.lit(1)))
+    tier = F.when(F.col("confidence") < dims.MEDIUM, 5).when((F.col("relation") == "callee") & (F.col("importance") == "high"), 1).when(F.col("relation") == "test", 2).when(F.col("relation").isin("model", "config", "store"), 3).otherwise(4)
+    w = Window.partitionBy("id").orderBy("tier", F.desc("score"), "relation")
+    return n.withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", "relation", "importance", "confidence", "tier", "score")
+
+
+def context_scores(nodes: DataFrame, edges: DataFrame, task: str) -> DataFrame:
+    """Every symbol as if it were a callee one step away, of the mean confidence of its edges."""
     deg = edges.select(F.explode(F.array("source", "target")).alias("id"), "confidence").groupBy("id").agg(F.count("*").alias("degree"), F.avg("confidence").alias("mean_confidence"))
     n = nodes.where(~F.col("type").isin("file", "module", "external_symbol")).join(deg, "id", "left")
-    importance = F.when(F.col("degree") >= 50, 1.0).when(F.col("degree") >= 10, 0.85).when(F.col("degree") >= 3, 0.6).otherwise(0.3)
-    rel = F.when(F.coalesce(F.length(F.trim("docstring")), F.lit(0)) > 0, 1.0).otherwise(0.5)
-    effect = F.when(F.col("type") == "class", 0.7).when(F.col("type") == "method", 0.6).otherwise(0.8)
-    test = F.when(dims.is_test_path(F.col("file_path")), 1.0).otherwise(0.0)
-    cost = F.least(F.coalesce(F.length("code_preview"), F.lit(0)) / 2000.0, F.lit(1.0))
-    raw = 0.35 * rel + 0.20 * importance + 0.15 * F.coalesce("mean_confidence", F.lit(0.0)) + 0.15 * effect + 0.05 * test - 0.05 * cost
-    return n.select("id", F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)) + 1e-9, 4).alias("score"))
+    importance = F.when(F.col("degree") >= 50, "critical").when(F.col("degree") >= 10, "high").when(F.col("degree") >= 3, "medium").otherwise("low")
+    return n.select("id", item_score(task, F.lit("callee"), importance, F.round(F.coalesce("mean_confidence", F.lit(0.0)), 6), F.lit(1)).alias("score"))

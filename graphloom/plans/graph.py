@@ -13,7 +13,7 @@ from graphloom.operators import coverage, enrichment, graph, impact, incremental
 from graphloom.plans.general import _sql_id, _sql_type
 from graphloom.runtime import table
 
-SEARCHES = ["fetch_cache", "PendingBranchStore", "marker rewrites", "record"]
+SEARCHES = ["resolve_bucket", "LazySignalStore flush", "marker rewrites", "record"]
 TASK = "fix the cache refresh of the ledger store when a record is missing"
 MISSPELLED = ["PendngBrnchStor", "fetchCahce"]
 
@@ -211,12 +211,26 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return fn.join(f, "file_path").where(F.size("lines") >= F.col("line_start")).select("id", F.array_join(F.slice("lines", F.col("line_start"), size), "\n").alias("snippet"))
 
 
+def external_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Every call to a symbol written as an extractor writes it before resolution, by its qualified name, and resolved back."""
+    n, e = nodes(spark, d), edges(spark, d)
+    raw = e.where("type = 'calls'").join(n.where("qualified_name is not null").select(F.col("id").alias("target"), "qualified_name"), "target")
+    return graph.resolve_external_calls(n, e.unionByName(raw.withColumn("target", F.concat(F.lit("external:"), "qualified_name")).select(*e.columns))).distinct()
+
+
+def test_edge_prefix_match(spark: SparkSession, d: str) -> DataFrame:
+    """A test made up for every callable, named after it, finds the callable of the longest name."""
+    n = nodes(spark, d)
+    tests = n.where(F.col("type").isin("function", "method", "class")).withColumn("id", F.concat(F.lit("test of "), "id")).withColumn("type", F.lit("test")).withColumn("name", F.concat(F.lit("test_"), "name", F.lit("_twice")))
+    return graph.names_tests(n.unionByName(tests))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_stats": _ne(graph.graph_stats),
     "type_counts": _n(lambda n: n.groupBy("type").agg(F.count("*").alias("n"))),
     "edge_type_counts": _e(lambda e: e.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))),
-    "node_filter": _n(lambda n: graph.by_pattern(n, {"type": "class"}, {"file_path": "store", "name": "branch"}, "id", 200).select("id", "name", "file_path")),
-    "edge_filter": _e(lambda e: graph.by_pattern(e, {"type": "inherits"}, {"target": "external:"}, "edge_id", 500, 10).select("edge_id", "source", "target")),
+    "node_filter": _n(lambda n: graph.by_pattern(n, {"type": "class"}, {"file_path": "src", "name": "store"}, "id", 200).select("id", "name", "file_path")),
+    "edge_filter": _e(lambda e: graph.by_pattern(e, {"type": "calls"}, {"target": "external:"}, "edge_id", 500, 10).select("edge_id", "source", "target")),
     "node_lookup": _n(lambda n: n.where("id = 'external:indexlib.checkGauge'").select("id", "type", "name", "qualified_name")),
     "edges_between": _e(lambda e: e.groupBy("source", "target").agg(F.count("*").alias("n_types"), F.max("confidence").alias("best")).where("n_types > 1")),
     "callers_direct": _ne(lambda n, e: graph.direct(e, n, "target")),
@@ -235,8 +249,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_members": _n(graph.class_members),
     "repo_summary_current": _ne(graph.repo_summary),
     "low_conf_ratio_by_language": _ne(graph.edge_quality_by_language),
-    "external_resolve": _ne(graph.resolve_external_calls),
-    "test_edge_prefix_match": _n(graph.names_tests),
+    "external_resolve": external_resolve,
+    "test_edge_prefix_match": test_edge_prefix_match,
     "star_dependencies": _ne(graph.star_dependencies),
     "related_tests": _ne(lambda n, e: impact.related_tests(n, e).withColumn("confidence", F.round("confidence", 6))),
     "edge_dedup_first_wins": _e(lambda e: e.select("edge_id", "source", "target", "type")),
@@ -252,14 +266,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_summary": _ne(lambda n, e: coverage.coverage_summary(coverage.coverage_buckets(n, e))),
     "coverage_signal": _ne(coverage.coverage_signal),
     "search_inmemory": _n(lambda n: search.plain_scores(n, SEARCHES).select("query", "id", "score")),
-    "search_multipass": _n(lambda n: search.multi_pass(n, SEARCHES, fuzzy=False)),
+    "search_multipass": _n(lambda n: search.multi_pass(n, SEARCHES)),
+    "search_paged": _n(lambda n: search.multi_pass(n, SEARCHES, limit=7, offset=5)),
+    "search_filtered": _n(lambda n: search.multi_pass(n, SEARCHES, keep=search.search_filter(types=["function", "method", "class"], exclude_paths=["*/test*"], languages=["python", "go"], tests=False, external=False))),
     "search_fuzzy": _n(lambda n: search.multi_pass(n, MISSPELLED)),
+    "external_calls": _ne(impact.external_calls),
     "bm25_topk": bm25_topk,
     "fts_terms": _n(lambda n: search.terms(n).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))),
     "name_decompose": _n(lambda n: n.where("name is not null").select("name").distinct().select("name", F.array_join(F.array_sort(search.decompose(F.col("name"))), " ").alias("parts"))),
     "tokenize": _raw("documents", lambda t: t.where("text is not null").select("doc_id", F.size(search.tokenize(F.col("text"))).alias("n_words"), search.token_estimate(F.col("text")).cast("long").alias("n_tokens"))),
     "relevance_score": _n(lambda n: search.relevance(n, TASK)),
-    "context_item_score": _ne(impact.context_scores),
+    "context_item_score": _ne(lambda n, e: impact.context_scores(n, e, TASK)),
     "impact_confirmed": impact_confirmed,
     "impact_files": impact_files,
     "impact_risk": impact_risk,
@@ -279,18 +296,39 @@ _HAS = lambda c: f"coalesce(contains(lower({c}), q), false)"
 _Q = "(select unnest([" + ", ".join(f"'{q}'" for q in SEARCHES) + "]) query)"
 _PLAIN = f"""greatest(case when coalesce(lower(id) = q or lower(name) = q, false) then 1.0 else 0 end, case when {_HAS("qualified_name")} then 0.9 else 0 end, case when {_HAS("name")} then 0.8 else 0 end,
   case when {_HAS("file_path")} then 0.7 else 0 end, case when {_HAS("docstring")} then 0.5 else 0 end)::double"""
-_WORD = lambda c: rf"coalesce(regexp_matches({c}, '(?i)(^|[^\p{{L}}\p{{N}}])(' || regexp_replace(q, '\s+', '|', 'g') || ')($|[^\p{{L}}\p{{N}}])'), false)"
-_EQ = lambda c: f"coalesce(lower({c}) = q, false)"
-_PASSES = [
-    (_EQ("id"), 1.0), (_EQ("qualified_name"), 0.95), (_EQ("name"), 0.9), (_WORD("name"), 0.8), (_WORD("qualified_name"), 0.78), (_HAS("id"), 0.7), (_HAS("name"), 0.68), (_WORD("file_path"), 0.65), (_HAS("qualified_name"), 0.62),
-    (_HAS("file_path"), 0.55), (_WORD("signature"), 0.55), (_HAS("signature"), 0.5), (_HAS("docstring"), 0.45),
-]
+_SAME = lambda c: f"coalesce({c} = query, false)"
+_TAGS = "array_to_string(tags, ' ')"
+_FIELD = lambda c: _TAGS if c == "tag_text" else c
 _ENTRY = f"(type in ('route', 'controller', 'service', 'component') or list_has_any(tags, ['route', 'controller', 'service', 'handler', 'command', 'cli']) or {_matches('lower(name)', dims.ENTRY_NAME)})"
-_SEARCH = f"""
-, scored as (select n.*, query, lower(query) q, greatest({", ".join(f"case when {c} then {s} else 0 end" for c, s in _PASSES)})::double score,
-    case when {_EQ("id")} then 0 when {_EQ("qualified_name")} then 1 when {_EQ("name")} then 2 else 99 end exact from (select n.*, query, lower(query) q from n, {_Q}) n)
-select query, rank::int as rank, id, score from (select query, id, score, row_number() over (partition by query order by exact, {_TEST()}::int, (type = 'external_symbol')::int, (not {_ENTRY})::int, (not {_PROD()})::int, score desc, coalesce(length(file_path), 0), id) rank
-  from scored where score >= 0.2) where rank <= 20"""
+_SEEDS = [(q, w) for q in SEARCHES for w in search.re.findall(search.SEED, q) if len(w) >= 4]
+_TESTISH = f"(type = 'test' or {_TEST()})"
+
+
+def _search_sql(limit: int = 20, offset: int = 0, where: str = "true") -> str:
+    seed = " or ".join(f"(query = '{q}' and name = '{w}')" for q, w in _SEEDS) or "false"
+    exact = [("exact_symbol_id", _SAME("id"), 1.0), ("exact_qualified_name", _SAME("qualified_name"), 0.95), ("exact_name", _SAME("name"), 0.9), ("seed_name", f"coalesce({seed}, false)", 0.98)]
+    within = lambda table: "greatest(" + ", ".join(f"case when {_HAS(_FIELD(c))} then {v} else 0 end" for c, v in table.items()) + ")"
+    asked = ", ".join(f"('{q}', '{p}')" for q in SEARCHES for p in search.phrases(q))
+    scan = max(limit + offset, search.SCAN)
+    joined = "concat_ws(' ', name, qualified_name, file_path, signature, docstring, array_to_string(tags, ' '))"
+    return N + f"""
+, k as (select * from n where {where}), nq as (select k.*, query, lower(query) q from k, {_Q}),
+flat as (select id, t, len(string_split(trim(t), ' ')) dl from (select id, ' ' || trim(regexp_replace(lower({joined}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' t from k)), tot as (select count(*) nn, avg(dl) avgdl from flat),
+hit as (select query, phrase, id, dl, (length(t) - length(replace(t, rtrim(phrase), ''))) / length(rtrim(phrase)) tf from flat, (values {asked}) a(query, phrase) where contains(t, phrase)),
+df as (select query, phrase, count(*) df from hit group by all),
+bm as (select query, id, row_number() over (partition by query order by round(sum(greatest(ln((nn - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) desc, id) rn from hit join df using (query, phrase), tot group by query, id),
+direct as (select query, id, greatest({", ".join(f"case when {c} then {v} else 0 end" for _, c, v in exact)}) score, list_filter([{", ".join(f"case when {c} then '{k}' end" for k, c, _ in exact)}], lambda x: x is not null) sources from nq),
+txt as (select query, id, case when w > 0 then w else 0.6 end score from (select nq.query, nq.id, {within(search.FTS_SCORES)} w from nq join bm on bm.query = nq.query and bm.id = nq.id and bm.rn <= {scan})),
+part as (select query, id, score from (select query, id, score, row_number() over (partition by query order by name nulls first, id) rn from (select *, {within(search.LIKE_SCORES)} score from nq) where score > 0) where rn <= {scan}),
+merged as (select query, id, max(score)::double score, list_distinct(flatten(list(sources))) sources from (select * from direct where score > 0 union all select query, id, score, [] from txt union all select query, id, score, [] from part) where score >= 0.2 group by query, id),
+ranked as (select m.*, coalesce(file_path, '') p, count(*) over (partition by query) total, row_number() over (partition by query order by score desc, id) bs, row_number() over (partition by query order by
+    case when list_contains(sources, 'exact_symbol_id') then 0 when list_contains(sources, 'exact_qualified_name') then 1 when list_contains(sources, 'exact_name') then 2 when list_contains(sources, 'seed_name') then 3 else 99 end,
+    {_TESTISH}::int, (type = 'external_symbol')::int, (not {_ENTRY})::int, (not ({_PROD()} and not {_TESTISH} and type <> 'external_symbol'))::int, score desc, length(coalesce(file_path, '')), (coalesce(name = '__init__', false) or coalesce(ends_with(file_path, '__init__.py'), false))::int, {_TESTISH}::int, id) rank
+  from merged m join k using (id)),
+verdict as (select query, count(distinct case when list_contains(sources, 'exact_name') then p end) > 1 or (max(total) > 1 and round(max(score) - min(case when bs <= 3 then score end), 6) < 0.05) ambiguous from ranked group by query)
+select query, rank::int as rank, id, score, array_to_string(list_sort(sources), ',') sources, total::int total, total > {limit + offset} truncated, ambiguous from ranked join verdict using (query) where rank > {offset} and rank <= {limit + offset}"""
+
+
 _TERMS = r"""terms as (select id, term, count(*) tf from (select id, unnest(regexp_split_to_array(lower(regexp_replace(concat_ws(' ', name, qualified_name, docstring), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) term from n) where length(term) > 1 group by all)"""
 _BM = ", ".join(f"('{q}', '{w}')" for q in SEARCHES for w in q.lower().split())
 _IMPACT_PARTS = (
@@ -304,11 +342,13 @@ stand as (select id, regexp_extract(id, '^(.*)[.][^.:/]+$', 1) root_id from n wh
 lifted as (select s.root_id, o.id, arg_min(least(distance + 1, 2), (least(distance + 1, 2), -confidence)) distance, arg_min(confidence, (least(distance + 1, 2), -confidence)) confidence, relation from own o join stand s on s.id = o.root_id group by s.root_id, o.id, relation),
 found as (select f.*, n.type node_type, n.file_path, f.confidence >= 0.6 confirmed from (select root_id, id, distance, confidence, relation from own union all select root_id, id, distance, confidence, relation from lifted) f left join n on n.id = f.id),
 risks as (
-  select s.root_id, case when sens and coalesce(n_tests, 0) = 0 and coalesce(n_callers, 0) >= 3 and mut then 'critical' when sens or api then 'high' when coalesce(n_callers, 0) >= 5 then 'high'
+  select s.root_id, case when sens and coalesce(n_tests, 0) + coalesce(n_up, 0) = 0 and coalesce(n_callers, 0) >= 3 and mut then 'critical' when sens or api then 'high' when coalesce(n_callers, 0) >= 5 then 'high'
     when coalesce(n_callers, 0) + coalesce(n_callees, 0) > 0 then 'medium' else 'low' end risk, coalesce(n_callers, 0) n_callers, coalesce(n_callees, 0) n_callees, coalesce(n_tests, 0) n_tests
-  from (select id root_id, SENS sens, coalesce(contains(lower(file_path), '/api/'), false) or type = 'route' api, MUT mut from n where type in ('function', 'method', 'class')) s
-  left join (select root_id, count_if(relation = 'caller') n_callers, count_if(relation = 'callee') n_callees from found where node_type in ('function', 'method', 'class', 'test') group by root_id) c using (root_id)
-  left join (select source root_id, count(distinct target) n_tests from e where type = 'tested_by' group by source) t using (root_id))""".replace("SENS", _WORDS("file_path", dims.SENSITIVE_WORDS)).replace("MUT", f"({_WORDS('file_path', dims.MUTATION_WORDS)} or {_WORDS('name', dims.MUTATION_WORDS)})"),
+  from (select id root_id, SENS sens, coalesce(contains(lower(file_path), '/api/'), false) or list_contains(tags, 'route') api, MUT mut from n where type in ('function', 'method', 'class')) s
+  left join (select root_id, count_if(relation = 'caller') n_callers, count_if(relation = 'callee') n_callees, count_if(relation = 'caller' and node_type = 'test') n_up from found where node_type in ('function', 'method', 'class', 'test') group by root_id) c using (root_id)
+  left join (select root_id, count(distinct test) n_tests from (select source root_id, target test from e where type = 'tested_by' and target in (select id from n) union all select target, source from e where type = 'calls' and source in (select id from n where type = 'test')) group by root_id) t using (root_id))""".replace(
+        "SENS", f"({_WORDS('file_path', dims.SENSITIVE_WORDS)} or (list_contains(tags, 'route') and {_WORDS('name', dims.SENSITIVE_WORDS)}))"
+    ).replace("MUT", _WORDS("file_path", dims.MUTATION_WORDS)),
 )
 _IMPACT = _with(NODES_SQL, *_IMPACT_PARTS)
 _BUCKETS = f"""
@@ -350,14 +390,29 @@ changes as (
     case when s.file_path is null then 'ADDED' when c.file_path is null then 'DELETED' when c.sha is not distinct from s.sha then 'NONE'
       when c.f0 is distinct from s.f0 or c.f1 is distinct from s.f1 or c.f2 is distinct from s.f2 or c.f3 is distinct from s.f3 then 'STRUCTURAL' else 'COSMETIC' end as change
   from cur c full join old s on c.repo_id = s.repo_id and c.file_path = s.file_path)"""
-_RELEVANT = [w for w in dict.fromkeys(TASK.lower().split()) if len(w) > 2 and w not in search.STOPWORDS]
 _DECOMPOSED = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z]+'), lambda t: t <> ''))"
-_SIGNALS = [
-    s for w in _RELEVANT for s in (
-        f"case when lower(name) = '{w}' then 0.95 when starts_with(lower(name), '{w}') or starts_with('{w}', lower(name)) then 0.85 when contains(lower(name), '{w}') then 0.8 end",
-        f"case when list_contains({_DECOMPOSED}, '{w}') then 0.82 end", f"case when contains(lower(file_path), '{w}') then 0.7 end", f"case when contains(lower(docstring), '{w}') then 0.6 end",
-    )
-]
+_LOW = lambda c: f"lower(coalesce({c}, ''))"
+_BASE = "regexp_replace(list_last(string_split(lower(coalesce(file_path, '')), '/')), '[.][^.]*$', '')"
+
+
+def _signals(w: str) -> list[list[tuple[str, float, int]]]:
+    part = lambda c: f"contains({_LOW(c)}, '{w}')"
+    name = _LOW("name")
+    return [
+        [(f"{name} = '{w}'", 0.95, 2), (f"{name} <> '' and (starts_with({name}, '{w}') or starts_with('{w}', {name}))", 0.85, 1), (part("name"), 0.8, 1)], [(f"coalesce(list_contains({_DECOMPOSED}, '{w}'), false)", 0.82, 1)],
+        [(f"{_BASE} = '{w}'", 0.85, 2), (f"list_contains(regexp_split_to_array({_LOW('file_path')}, '[/.\\s]+'), '{w}')", 0.78, 1), (part("file_path"), 0.7, 1)], [(part("qualified_name"), 0.85, 1)], [(part("docstring"), 0.6, 1)], [(part("module"), 0.7, 1)],
+    ]
+
+
+_CASES = [g for w in search.task_words(TASK) for g in _signals(w)]
+_case = lambda g, i: "case " + " ".join(f"when {x[0]} then {x[i]}" for x in g) + " else 0 end"
+_RELEVANCE = f"""
+, r0 as (select *, greatest({", ".join(_case(g, 1) for g in _CASES)})::double base, ({" + ".join(_case(g, 2) for g in _CASES)})::int matches from n),
+r1 as (select *, case when {_ENTRY} then least(greatest(base, 0.72) + 0.1, 1.0) else base end b1 from r0),
+r2 as (select *, case when type = 'test' then least(b1, 0.55) when {_TEST()} then least(b1, 0.65) else b1 end b2 from r1),
+r3 as (select *, case when {_PROD()} then least(b2 + 0.03, 1.0) else b2 end b3 from r2),
+r as (select *, case when matches = 0 then 0.0 else round(least(b3 + matches * 0.02, 1.0) + 1e-9, 4) end::double relevance from r3)
+"""
 
 ORACLE: dict[str, str] = {
     "graph_stats": NE
@@ -365,8 +420,8 @@ ORACLE: dict[str, str] = {
   count(distinct file_path) n_files from n) a, (select count(*) n_edges, count_if(confidence < 0.6)::bigint n_low_confidence from e) b""",
     "type_counts": N + "select type, count(*) n from n group by type",
     "edge_type_counts": E + "select type, count(*) n, round(avg(confidence), 6) mean_confidence from e group by type",
-    "node_filter": N + "select id, name, file_path from n where type = 'class' and contains(lower(file_path), 'store') and contains(lower(name), 'branch') order by id limit 200",
-    "edge_filter": E + "select edge_id, source, target from e where type = 'inherits' and contains(lower(target), 'external:') order by edge_id limit 500 offset 10",
+    "node_filter": N + "select id, name, file_path from n where type = 'class' and contains(lower(file_path), 'src') and contains(lower(name), 'store') order by id limit 200",
+    "edge_filter": E + "select edge_id, source, target from e where type = 'calls' and contains(lower(target), 'external:') order by edge_id limit 500 offset 10",
     "node_lookup": N + "select id, type, name, qualified_name from n where id = 'external:indexlib.checkGauge'",
     "edges_between": E + "select source, target, count(*) n_types, max(confidence) best from e group by all having count(*) > 1",
     "callers_direct": NE + "select c.*, n.name, n.type node_type from (select target id, count(distinct source) n_neighbors, round(avg(confidence), 6) mean_confidence from e where type = 'calls' group by target) c join n using (id)",
@@ -404,10 +459,11 @@ ORACLE: dict[str, str] = {
     "low_conf_ratio_by_language": NE + "select coalesce(language_id, 'unknown') as language, count(*) n_edges, round(avg(confidence), 6) mean_confidence, count_if(confidence < 0.6)::bigint n_low from e join n on n.id = e.source group by all",
     "external_resolve": NE
     + """, lookup as (select qualified_name, arg_min(id, (-p, id)) resolved from (select *, case when type in ('function', 'method', 'class', 'test') then 3 when type in ('module', 'file') then 1 when type = 'import' then 0 else -1 end p from n where qualified_name is not null and type <> 'external_symbol') where p >= 0 group by qualified_name)
-select source, target, resolved from e join lookup on qualified_name = substring(target, 10) where type = 'calls' and starts_with(target, 'external:')
+, raw as (select source, target, type, resolution from e union all select e.source, 'external:' || n.qualified_name, e.type, e.resolution from e join n on n.id = e.target where e.type = 'calls' and n.qualified_name is not null)
+select distinct source, target, resolved from raw e join lookup on qualified_name = substring(target, 10) where type = 'calls' and starts_with(target, 'external:')
   and not coalesce(resolution in ('name_match_candidate', 'callback_candidate', 'unknown_receiver_method', 'dynamic_dispatch', 'unknown_symbol', 'unresolved'), false)""",
     "test_edge_prefix_match": N
-    + """, t as (select id test_id, repo_id, substring(name, 6) rest from n where type in ('function', 'method', 'test') and starts_with(name, 'test_'))
+    + """, t as (select id test_id, repo_id, substring(name, 6) rest from (select id, type, name, repo_id from n union all select 'test of ' || id, 'test', 'test_' || name || '_twice', repo_id from n where type in ('function', 'method', 'class')) where type in ('function', 'method', 'test') and starts_with(name, 'test_'))
 select arg_min(c.id, (-length(c.name), c.id)) source, test_id target, 0.65::double confidence from t join n c on c.repo_id = t.repo_id and c.type in ('function', 'method', 'class') and not starts_with(c.name, 'test_') and (t.rest = c.name or starts_with(t.rest, c.name || '_')) group by test_id""",
     "star_dependencies": NE
     + """, k as (select id, case when list_contains(tags, 'model') then 'model' when list_contains(tags, 'config') then 'config' when list_contains(tags, 'store') or list_contains(tags, 'persistence') then 'store' end kind from n where type = 'class')
@@ -436,7 +492,14 @@ select f.file_path, kind, count(distinct target) n_dependencies from e join k on
   left join (select repo_id, count(distinct file_path) n_test_files from n where {_COVTEST()} group by repo_id) using (repo_id)
   left join (select repo_id, count(distinct source) n_tested, count(distinct case when confidence >= 0.75 then source end) n_high from e join n on n.id = e.source where e.type = 'tested_by' group by repo_id) using (repo_id))""",
     "search_inmemory": N + f"select query, id, score from (select query, id, {_PLAIN} score from (select n.*, query, lower(query) q from n, {_Q})) where score > 0",
-    "search_multipass": N + _SEARCH,
+    "search_multipass": _search_sql(),
+    "search_paged": _search_sql(7, 5),
+    "search_filtered": _search_sql(where=f"type in ('function', 'method', 'class') and not {_matches('file_path', '^.*/test.*$')} and coalesce(language_id in ('python', 'go'), false) and type <> 'test' and not {_TEST()}"),
+    "external_calls": NE
+    + """, ends as (select source id, target other, 0 way, edge_id, confidence, resolution from e where type = 'calls' union all select target, source, 1, edge_id, confidence, resolution from e where type = 'calls')
+select id, other, case way when 0 then 'target' else 'source' end as role, confidence, coalesce(resolution, 'unknown') resolution, case tier when 'none' then 'unresolved' else coalesce(tier, 'unresolved') end category from (
+  select x.*, row_number() over (partition by x.id, other order by way, edge_id) rn from ends x join n on n.id = x.id left join n o on o.id = x.other
+  where o.id is null or o.type = 'external_symbol' or coalesce((select blocks from res where res.resolution = x.resolution), false)) left join res using (resolution) where rn = 1""",
     "bm25_topk": _with(NODES_SQL, _TERMS)
     + f""", sizes as (select id, sum(tf) dl from terms group by id), tot as (select count(*) nn, avg(dl) avgdl from sizes), df as (select term, count(*) df from terms group by term), qs as (select * from (values {_BM}) t(query, term))
 select query, id, score, rank::int as rank from (select query, id, score, row_number() over (partition by query order by score desc, id) rank from (
@@ -445,13 +508,12 @@ select query, id, score, rank::int as rank from (select query, id, score, row_nu
     "name_decompose": N + f"select name, array_to_string(list_sort({_DECOMPOSED}), ' ') parts from (select distinct name from n where name is not null)",
     "tokenize": rf"""select doc_id, len(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+')), lambda t: length(t) > 2 and not list_contains([{", ".join(f"'{w}'" for w in search.STOPWORDS)}], t)))::int n_words,
   case when length(text) = 0 then 0 else greatest(length(text) // 4, 1) end::bigint n_tokens from documents where text is not null""",
-    "relevance_score": N
-    + f"""select id, name, score, matches from (select id, name, matches, round(least(case when type = 'test' or {_TEST()} then least(base, 0.65) else base end + case when {_PROD()} then 0.03 else 0 end + matches * 0.02, 1.0), 4)::double score from (
-  select *, greatest(0, {", ".join(f"coalesce({s}, 0)" for s in _SIGNALS)})::double base, ({" + ".join(f"(coalesce({s}, 0) > 0)::int" for s in _SIGNALS)})::int matches from n) where matches > 0) order by score desc, id limit 20""",
-    "context_item_score": NE
-    + f"""select id, round(least(greatest(0.35 * case when coalesce(length(trim(docstring)), 0) > 0 then 1.0 else 0.5 end + 0.20 * case when degree >= 50 then 1.0 when degree >= 10 then 0.85 when degree >= 3 then 0.6 else 0.3 end + 0.15 * coalesce(mc, 0)
-  + 0.15 * case type when 'class' then 0.7 when 'method' then 0.6 else 0.8 end + 0.05 * case when {_TEST()} then 1.0 else 0.0 end - 0.05 * least(coalesce(length(code_preview), 0) / 2000.0, 1.0), 0.0), 1.0)::double + 1e-9, 4) score
-  from n left join (select id, count(*) degree, avg(confidence) mc from (select source id, confidence from e union all select target, confidence from e) group by id) using (id) where type not in ('file', 'module', 'external_symbol')""",
+    "relevance_score": N + _RELEVANCE + "select id, name, relevance score, matches from r where relevance > 0 order by relevance desc, id limit 20",
+    "context_item_score": _with(NODES_SQL, EDGES_SQL)
+    + _RELEVANCE
+    + """select id, round(least(greatest(0.35 * relevance + 0.20 * case when degree >= 50 then 1.0 when degree >= 10 then 0.85 when degree >= 3 then 0.6 else 0.3 end + 0.15 * coalesce(mc, 0) + 0.15 * case when list_contains(tags, 'route') then 0.9 else 0.8 end
+  + case when type = 'test' then 0.05 else 0 end - 0.05 * 0.2 - 0.05 * least(coalesce(length(code_preview), 0) / 2000.0, 1.0), 0.0), 1.0)::double + 1e-9, 4) score
+  from r left join (select id, count(*) degree, round(avg(confidence), 6) mc from (select source id, confidence from e union all select target, confidence from e) group by id) using (id) where type not in ('file', 'module', 'external_symbol')""",
     "impact_confirmed": _IMPACT + "select root_id, relation, count_if(confirmed)::bigint n_confirmed, count_if(not confirmed)::bigint n_possible from found group by all",
     "impact_files": _IMPACT + "select root_id, file_path, min(distance) distance, count(distinct id) n_symbols from found where confirmed and file_path is not null group by all",
     "impact_risk": _IMPACT + "select * from risks",

@@ -26,13 +26,19 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(_contains(spark, d), with_paths=True, with_cycles=True))
 
 
+def test_file_detection(spark: SparkSession, d: str) -> DataFrame:
+    """The delivered files, and each of them once more in a folder of tests."""
+    f = table(spark, d, "source_files").select("file_path", "repo_id")
+    return reports.test_files(f.unionByName(f.withColumn("file_path", F.regexp_replace("file_path", "^([^/]*)/", "$1/tests/"))))
+
+
 QUERIES = {
     "p5_descendants": p5_descendants,
     "rank_symbols_in_file": lambda s, d: reports.rank_symbols(nodes(s, d)),
     "file_roles": lambda s, d: reports.file_roles(nodes(s, d)),
     "enrichment_prepare": lambda s, d: reports.enrichment_prepare(nodes(s, d), edges(s, d)),
     "scan_overview": lambda s, d: reports.scan_overview(nodes(s, d), edges(s, d)),
-    "test_file_detection": lambda s, d: reports.test_files(table(s, d, "source_files")),
+    "test_file_detection": test_file_detection,
     "index_status": lambda s, d: reports.index_status(table(s, d, "source_files"), _stored(s, d)),
     "freshness": lambda s, d: reports.freshness(table(s, d, "source_files"), _stored(s, d)),
     "task_intents": lambda s, d: table(s, d, "documents").where("text is not null").groupBy("source", intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n")),
@@ -57,7 +63,7 @@ ORACLE = {
     "scan_overview": NE
     + f"""select * from (select file_path, sum(d)::bigint degree from n join (select id, count(*) d from (select source id from e union all select target from e) group by id) using (id) where file_path is not null group by file_path order by degree desc, file_path limit 15)
   where not {_TEST()} order by degree desc, file_path limit 5""",
-    "test_file_detection": f"select repo_id, case lower(regexp_extract(file_path, '[.]([^./]+)$', 1)) {_EXT} end as language, count(*) n_files, min(file_path) sample from (select distinct file_path, repo_id from source_files where {_COVTEST()}) group by all",
+    "test_file_detection": f"select repo_id, case lower(regexp_extract(file_path, '[.]([^./]+)$', 1)) {_EXT} end as language, count(*) n_files, min(file_path) sample from (select distinct file_path, repo_id from (select file_path, repo_id from source_files union all select regexp_replace(file_path, '^([^/]*)/', '\\1/tests/'), repo_id from source_files) where {_COVTEST()}) group by all",
     "index_status": f"""with {_STORED_SQL}, f as (select file_path, repo_id, content from source_files qualify row_number() over (partition by file_path order by loaded_at desc nulls last) = 1)
 select coalesce(f.repo_id, st.repo_id) repo_id, case when st.file_path is null then 'added' when f.file_path is null then 'deleted' when sha256(content) = st.sha256 then 'unchanged' else 'changed' end state, count(*) n_files from f full join st on f.file_path = st.file_path group by all""",
     "freshness": f"""with {_STORED_SQL}, f as (select file_path, max(modification_time) t, max(repo_id) repo_id from source_files group by file_path)
