@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
-from graphloom.operators import coverage, graph, impact, search, traversal, validation
+from graphloom.operators import context, coverage, explain, graph, impact, integrity, search, traversal, validation
 from graphloom.sources.tables import read_graph
 
 
@@ -41,20 +41,29 @@ class GraphIndex:
     def symbol(self, id: str) -> DataFrame:
         return self.nodes.where(F.col("id") == id)
 
-    def search(self, query: str, limit: int = 20, fuzzy: bool = True) -> DataFrame:
-        return search.multi_pass(self.nodes, [query], limit, fuzzy=fuzzy)
+    def search(self, query: str, limit: int = 20, offset: int = 0, min_score: float = 0.2, fuzzy: bool = True, **keep) -> DataFrame:
+        """One page of ranked symbols. Further arguments are those of search_filter(): types, paths, exclude_paths, languages, layer, tests, external."""
+        limit = max(1, min(limit, 100))
+        return search.multi_pass(self.nodes, [query], limit, offset, min_score, fuzzy, search.search_filter(**keep) if keep else None).drop("query")
+
+    def instead(self, query: str) -> DataFrame:
+        """What to offer where nothing answers: symbols with such a name, of the same file, callers and callees of the best."""
+        return search.fallback(self.nodes, self.edges, query)
 
     def find(self, query: str, limit: int = 5) -> DataFrame:
-        return self.search(query, limit).join(self.nodes, "id").select("rank", "score", "id", "type", "file_path", "line_start", "signature", "docstring").orderBy("rank")
+        return self.search(query, limit).select("id", "rank", "score").join(self.nodes, "id").select("rank", "score", "id", "type", "file_path", "line_start", "signature", "docstring").orderBy("rank")
 
-    def callers(self, id: str, depth: int = 1, min_confidence: float = dims.MEDIUM) -> DataFrame:
-        return traversal.reach(self._start(id), traversal.steps(self.edges, "incoming", ("calls",), min_confidence), depth).orderBy("distance", "id")
+    def callers(self, id: str, depth: int = 1, min_confidence: float = dims.MEDIUM, tests: bool = True, limit: int = 20) -> DataFrame:
+        """Callers that are nodes of the graph; without tests these also end the way."""
+        known = self.nodes if tests else self.nodes.where((F.col("type") != "test") & ~dims.is_test_path(F.col("file_path")))
+        links = traversal.steps(self.edges, "incoming", ("calls",), min_confidence).join(known.select(F.col("id").alias("to")), "to", "left_semi")
+        return traversal.reach(self._start(id), links, depth).orderBy("distance", "id").limit(limit)
 
     def callees(self, id: str, depth: int = 1, min_confidence: float = dims.MEDIUM) -> DataFrame:
         return traversal.callers_with_missing(self._start(id), self.edges, self.nodes, depth, min_confidence).orderBy("distance", "id")
 
-    def neighbors(self, id: str, depth: int = 1, limit: int = 40) -> DataFrame:
-        links = traversal.steps(self.edges, "both", tuple(sorted(set(dims.TRAVERSED) | {"contains", "imports", "inherits", "references", "tested_by"})), follow_unresolved=True)
+    def neighbors(self, id: str, depth: int = 1, limit: int = 40, direction: str = "both", types: tuple[str, ...] | None = None, min_confidence: float = 0.0) -> DataFrame:
+        links = traversal.steps(self.edges, direction, types, min_confidence, follow_unresolved=True)
         return traversal.reach(self._start(id), links, min(depth, 3)).orderBy("distance", F.desc("confidence"), "id").limit(min(limit, 100))
 
     def subgraph(self, id: str, depth: int = 1) -> DataFrame:
@@ -75,29 +84,42 @@ class GraphIndex:
     def related_tests(self, id: str) -> DataFrame:
         return impact.related_tests(self.nodes, self.edges).where(F.col("id") == id)
 
+    def external_calls(self, id: str) -> DataFrame:
+        return impact.external_calls(self.nodes, self.edges).where(F.col("id") == id)
+
+    def relationships(self, id: str, k: int = 5) -> DataFrame:
+        near = self.edges.where((F.col("source") == id) | (F.col("target") == id))
+        return explain.relationships(self.nodes, near, k).where(F.col("id") == id)
+
     def explain(self, id: str) -> DataFrame:
-        """One row: the symbol with its relations counted, its tests and its risk."""
-        return self.symbol(id).join(graph.relation_counts(self.nodes, self.edges).drop("type"), "id", "left").join(self.risk(id).select(F.col("root_id").alias("id"), "risk"), "id", "left")
-
-    def context(self, task: str, budget: int = 6000, limit: int = 200) -> list[dict]:
-        """Symbols for a task in order of relevance, as much of each as the budget of tokens leaves room for.
-
-        The ranked rows (at most `limit`) are folded on the driver: each takes its preview, else its
-        signature, else its id.
-        """
-        budget = max(100, min(budget, 20000))
-        ranked = search.relevance(self.nodes, task, limit).join(self.nodes, ["id", "name"]).orderBy(F.desc("score"), "id")
-        preview = "code_preview" if "code_preview" in self.nodes.columns else "docstring"
-        out = []
-        for r in ranked.select("id", "type", "file_path", "score", "signature", F.col(preview).alias("preview")).collect():
-            for mode, text in (("preview", r["preview"]), ("signature", r["signature"]), ("id", r["id"])):
-                cost = max(1, len(text) // 4) if text else None
-                if cost and cost <= budget:
-                    budget -= cost
-                    out.append({"id": r["id"], "type": r["type"], "file_path": r["file_path"], "score": r["score"], "mode": mode, "text": text, "tokens": cost})
-                    break
+        """One row: the symbol with its summary, what its code uses, its relations counted, its tests and its risk."""
+        one, near = self.symbol(id), self.edges.where((F.col("source") == id) | (F.col("target") == id))
+        said = explain.summaries(one).drop("origin")
+        counts = graph.relation_counts(self.nodes, near).drop("type").where(F.col("id") == id)
+        out = one.join(said, "id", "left").join(counts, "id", "left").join(self.risk(id).select(F.col("root_id").alias("id"), "risk"), "id", "left")
+        if "code_preview" in self.nodes.columns:
+            out = out.join(explain.signals(one, near).drop("is_test_code"), "id", "left")
         return out
 
+    def context(self, task: str, budget: int = 6000, ids: list[str] | None = None) -> dict:
+        """Symbols for a task, as much of each as the budget of tokens leaves room for; see context.pack()."""
+        return context.pack(self.nodes, self.edges, task, budget, ids)
+
+    def scan(self, task: str) -> dict:
+        return context.scan(self.nodes, task)
+
+    def deepen(self, token: str) -> dict:
+        return context.deepen(self.nodes, self.edges, token)
+
+    def reach(self, token: str) -> dict:
+        return context.reach_of(self.nodes, self.edges, token)
+
+    def warnings(self) -> DataFrame:
+        return integrity.graph_warnings(self.nodes, self.edges)
+
+    def quality(self) -> DataFrame:
+        return explain.quality(self.edges)
+
     def summary(self) -> DataFrame:
         return graph.repo_summary(self.nodes, self.edges)
 
