@@ -5,11 +5,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.keys import clean_id, clean_path, edge_type
+from graphloom.functions.keys import clean_id, clean_path, edge_type, hashed
 from graphloom.operators.hierarchy import descendants, hierarchy
 from graphloom.operators.orphans import orphan_cascade, orphan_report
-from graphloom.operators.skewed_groups import balanced_group_stats
-from graphloom.operators.snapshot_diff import snapshot_changes
+from graphloom.operators.skewed_groups import _PARTIAL, _partial_states, balanced_group_stats, stitch
+from graphloom.operators.snapshot_diff import leaf_digests, snapshot_changes
+from graphloom.runtime import portable
 from tests.helpers import T0, edge, node, tables
 
 FP = "repo_id string, snapshot_no int, file_path string, sha256 string, structural_hash string, symbols_hash string, imports_hash string, calls_hash string, loaded_at timestamp_ntz, g string, v int, k string"
@@ -146,3 +147,27 @@ def test_null_keys(spark):
     df = spark.createDataFrame([("1", None, None, None, None, None), ("1", None, None, None, None, datetime(2024, 1, 1))], "id string, target string, type string, source string, confidence double, loaded_at timestamp_ntz")
     r = balanced_group_stats(df, [F.col("target"), F.col("type")], F.col("source"), F.col("id"), F.col("confidence"), F.col("loaded_at")).collect()
     assert [(x["target"], x["type"], x["n_edges"], x["n_sources"], x["mean_confidence"]) for x in r] == [(None, None, 1, 0, None)]
+
+
+def _deliveries(spark):
+    r = random.Random(3)
+    rows = [("g", v, f"p{i}", f"h{i}{'x' if v == 2 and i % 40 == 0 else ''}", "s", "s", "s", "s", T0) for v in (1, 2, 3) for i in range(300) if not (v == 3 and i == 7)]
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, "repo_id string, snapshot_no int, file_path string, sha256 string, structural_hash string, symbols_hash string, imports_hash string, calls_hash string, loaded_at timestamp_ntz")
+
+
+def test_changes_are_the_same_at_any_leaf_width(spark):
+    df, key = _deliveries(spark), F.col("file_path")
+    want = {(2, f"p{i}", "cosmetic") for i in range(0, 300, 40)} | {(3, f"p{i}", "cosmetic") for i in range(0, 300, 40)} | {(3, "p7", "removed")}
+    for bits in (1, 6, 10, 32, 60):
+        assert {(r["snapshot_no"], r["file_path"], r["change"]) for r in snapshot_changes(df, key, bits=bits).collect()} == want, bits
+    leaves = leaf_digests(df.where("snapshot_no < 3"), key, 6).unionByName(leaf_digests(df.where("snapshot_no = 3"), key, 6))
+    assert {(r["snapshot_no"], r["file_path"], r["change"]) for r in snapshot_changes(df, key, bits=6, leaves=leaves).collect()} == want
+
+
+def test_a_key_has_one_state_per_partition(spark):
+    df = spark.range(60_000).selectExpr("'hot' as target", "'t' as type", "cast(id % 1000 as string) as source", "cast(id as string) as id", "0.5D as confidence", "timestamp_ntz'2024-01-01' as at")
+    flat = df.select(*hashed("k", F.col("target")), F.xxhash64("source").alias("s1"), F.xxhash64(F.lit(1), "source").alias("s2"), F.xxhash64("id").alias("e1"), F.col("confidence").alias("conf"), "target", "type")
+    states = flat.repartitionByRange(3, "k1", "k2", "s1", "s2", "e1").sortWithinPartitions("k1", "k2", "s1", "s2", "e1").mapInArrow(portable(_partial_states), _PARTIAL)  # several Arrow batches to a partition
+    assert states.groupBy("piece_part").count().where("count > 1").count() == 0
+    assert [(r["n_edges"], r["n_sources"]) for r in stitch(states).collect()] == [(60_000, 1000)]
