@@ -89,7 +89,7 @@ def test_risk_rules(spark):
     g = GraphIndex(n, e)
     assert g.risk("auth/save.py::f", depth=1).first()["risk"] == "critical"
     assert g.risk("x", depth=1).first()["risk"] == "medium"
-    assert g.pre_edit_check("auth/a.py").first()["risk"] == "critical"
+    assert g.pre_edit_check("auth/save.py").first()["risk"] == "critical"
 
 
 def test_search_orders_and_misspellings(spark):
