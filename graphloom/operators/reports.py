@@ -72,3 +72,11 @@ def freshness(files: DataFrame, stored: DataFrame) -> DataFrame:
     j = now.join(was, "file_path", "left")
     state = F.when(F.col("stored").isNull(), "pending").when(F.col("t").isNull() | F.col("mtime").isNull(), "unknown").when(F.unix_micros(F.col("t").cast("timestamp")) / 1e6 - F.col("mtime") > 1, "edited_recently").otherwise("fresh")
     return j.groupBy("repo_id", state.alias("state")).agg(F.count("*").alias("n_files"))
+
+
+def stat_prefilter(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per repository: files whose time (to a millisecond) and length are those that the index recorded, and those whose content has to be hashed. Contents are not read."""
+    now = files.groupBy("file_path").agg(F.max("modification_time").alias("t"), F.max("length").alias("length"), F.max("repo_id").alias("repo_id"))
+    j = now.join(stored.select("file_path", "mtime", "size"), "file_path", "left")
+    same = (F.abs(F.unix_micros(F.col("t").cast("timestamp")) / 1e6 - F.col("mtime")) < 0.001) & (F.col("length") == F.col("size"))
+    return j.groupBy("repo_id", F.when(same, "same_stat").otherwise("must_hash").alias("state")).agg(F.count("*").alias("n_files"))

@@ -17,8 +17,8 @@ from graphloom.runtime import table
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """The fingerprint of each path in the last snapshot that has it."""
-    f = table(spark, d, "fingerprints").select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "snapshot_no", "loaded_at", F.lower("sha256").alias("sha256"), "mtime").where("file_path is not null")
-    w = Window.partitionBy("file_path").orderBy(F.col("snapshot_no").desc_nulls_last(), F.col("loaded_at").desc_nulls_last(), F.col("mtime").desc_nulls_last())
+    f = table(spark, d, "fingerprints").select("repo_id", clean_path(F.col("file_path")).alias("file_path"), "snapshot_no", "loaded_at", F.lower("sha256").alias("sha256"), "mtime", "size").where("file_path is not null")
+    w = Window.partitionBy("file_path").orderBy(F.col("snapshot_no").desc_nulls_last(), F.col("loaded_at").desc_nulls_last(), F.col("mtime").desc_nulls_last(), F.col("size").desc_nulls_last())
     return f.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "snapshot_no", "loaded_at")
 
 
@@ -40,14 +40,15 @@ QUERIES = {
     "scan_overview": lambda s, d: reports.scan_overview(nodes(s, d), edges(s, d)),
     "test_file_detection": test_file_detection,
     "index_status": lambda s, d: reports.index_status(table(s, d, "source_files"), _stored(s, d)),
+    "stat_prefilter": lambda s, d: reports.stat_prefilter(table(s, d, "source_files"), _stored(s, d)),
     "freshness": lambda s, d: reports.freshness(table(s, d, "source_files"), _stored(s, d)),
     "task_intents": lambda s, d: table(s, d, "documents").where("text is not null").groupBy("source", intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n")),
     "visibility": lambda s, d: nodes(s, d).where("name is not null").groupBy(dims.visibility(F.col("name")).alias("visibility"), "type").agg(F.count("*").alias("n")),
 }
 _EXT = " ".join(f"when '{x}' then '{lang}'" for x, lang in dims.EXTENSIONS.items())
 _LAYER = "case " + " ".join(f"when {_matches('lower(file_path)', p)} then '{n}'" for n, p in dims.LAYERS) + " else 'unknown' end"
-_STORED_SQL = f"""st as (select repo_id, {_SQL_PATH("file_path")} file_path, lower(sha256) sha256, mtime from fingerprints where {_SQL_PATH("file_path")} is not null
-  qualify row_number() over (partition by {_SQL_PATH("file_path")} order by snapshot_no desc nulls last, loaded_at desc nulls last, mtime desc nulls last) = 1)"""
+_STORED_SQL = f"""st as (select repo_id, {_SQL_PATH("file_path")} file_path, lower(sha256) sha256, mtime, size from fingerprints where {_SQL_PATH("file_path")} is not null
+  qualify row_number() over (partition by {_SQL_PATH("file_path")} order by snapshot_no desc nulls last, loaded_at desc nulls last, mtime desc nulls last, size desc nulls last) = 1)"""
 _CALLS = "select {h} id, string_agg(other, ',' order by rn) {n} from (select *, row_number() over (partition by {h} order by c desc, other) rn from (select {h}, {t} other, max(confidence) c from e where type = 'calls' group by all)) where rn <= 5 group by {h}"
 ORACLE = {
     "p5_descendants": _P5 + _P5_PAIRS + "select * from pairs",
@@ -66,6 +67,8 @@ ORACLE = {
     "test_file_detection": f"select repo_id, case lower(regexp_extract(file_path, '[.]([^./]+)$', 1)) {_EXT} end as language, count(*) n_files, min(file_path) sample from (select distinct file_path, repo_id from (select file_path, repo_id from source_files union all select regexp_replace(file_path, '^([^/]*)/', '\\1/tests/'), repo_id from source_files) where {_COVTEST()}) group by all",
     "index_status": f"""with {_STORED_SQL}, f as (select file_path, repo_id, content from source_files qualify row_number() over (partition by file_path order by loaded_at desc nulls last) = 1)
 select coalesce(f.repo_id, st.repo_id) repo_id, case when st.file_path is null then 'added' when f.file_path is null then 'deleted' when sha256(content) = st.sha256 then 'unchanged' else 'changed' end state, count(*) n_files from f full join st on f.file_path = st.file_path group by all""",
+    "stat_prefilter": f"""with {_STORED_SQL}, f as (select file_path, max(modification_time) t, max(length) length, max(repo_id) repo_id from source_files group by file_path)
+select f.repo_id, case when abs(epoch_us(t) / 1e6 - mtime) < 0.001 and length = size then 'same_stat' else 'must_hash' end state, count(*) n_files from f left join st on f.file_path = st.file_path group by all""",
     "freshness": f"""with {_STORED_SQL}, f as (select file_path, max(modification_time) t, max(repo_id) repo_id from source_files group by file_path)
 select f.repo_id, case when st.file_path is null then 'pending' when t is null or mtime is null then 'unknown' when epoch_us(t) / 1e6 - mtime > 1 then 'edited_recently' else 'fresh' end state, count(*) n_files from f left join st on f.file_path = st.file_path group by all""",
     "task_intents": f"""select source, case when {_matches("lower(text)", pattern(TEST_WORDS))} and {_matches("lower(text)", pattern(WRITE_WORDS))} then 'write_tests' {" ".join(f"when {_matches('lower(text)', pattern(w))} then '{n}'" for n, w in INTENTS)}
