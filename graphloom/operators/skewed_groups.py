@@ -69,6 +69,8 @@ def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 pending[5:9] = [x + y for x, y in zip(pending[5:9], head[5:9])]
                 pending[11:] = head[11:]
                 first = 1
+                if len(at) > 1:  # and ends in this batch
+                    yield single(pending)
         if first < len(at):
             if len(at) - 1 > first:
                 yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c))[first:-1].cast(t) for c, t in zip(out, kinds)], names=names)

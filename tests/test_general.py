@@ -171,3 +171,18 @@ def test_a_key_has_one_state_per_partition(spark):
     states = flat.repartitionByRange(3, "k1", "k2", "s1", "s2", "e1").sortWithinPartitions("k1", "k2", "s1", "s2", "e1").mapInArrow(portable(_partial_states), _PARTIAL)  # several Arrow batches to a partition
     assert states.groupBy("piece_part").count().where("count > 1").count() == 0
     assert [(r["n_edges"], r["n_sources"]) for r in stitch(states).collect()] == [(60_000, 1000)]
+
+
+def test_keys_that_end_within_a_later_batch(spark):
+    r = random.Random(5)
+    data = [(str(i), f"t{min(r.randrange(9), r.randrange(9))}", "calls", f"s{r.randrange(5)}") for i in range(400)]
+    df = spark.createDataFrame(data, "id string, target string, type string, source string").withColumns({"conf": F.lit(0.5), "at": F.lit(None).cast("timestamp_ntz")})
+    want = {t: (sum(x[1] == t for x in data), len({x[3] for x in data if x[1] == t}), 0.5) for t in {x[1] for x in data}}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 7, 50):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+            got = balanced_group_stats(df, [F.col("target"), F.col("type")], F.col("source"), F.col("id"), F.col("conf"), F.col("at")).collect()
+            assert {x["target"]: (x["n_edges"], x["n_sources"], x["mean_confidence"]) for x in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
