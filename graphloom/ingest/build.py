@@ -37,10 +37,10 @@ def _arrow(df: DataFrame, rows, schema: str, *columns: str) -> DataFrame:
     return df.select(*columns).mapInArrow(portable(work), schema)
 
 
-def deliveries(files: DataFrame) -> DataFrame:
-    """Delivered files outside of excluded folders, where they lie or in enough tasks for parsing: file_path, repo_id, arrival, digest, content."""
+def deliveries(files: DataFrame, *more: str) -> DataFrame:
+    """Delivered files outside of excluded folders, where they lie or in enough tasks for parsing: file_path, repo_id, arrival, digest, content and further columns."""
     kept = files.where(F.col("file_path").isNotNull() & ~dims.is_excluded(F.col("file_path")))
-    return spread(kept.select("file_path", "repo_id", F.col("loaded_at").alias("arrival"), F.xxhash64("content").alias("digest"), "content"))
+    return spread(kept.select("file_path", "repo_id", F.col("loaded_at").alias("arrival"), F.xxhash64("content").alias("digest"), "content", *more))
 
 
 def _facts(path: str, repo: str | None, arrival, digest: int, content: bytes | None) -> Iterator[tuple]:
@@ -53,6 +53,22 @@ def _facts(path: str, repo: str | None, arrival, digest: int, content: bytes | N
         yield "link", path, repo, x.source, None, x.name, None, x.line, None, None, None, None, lang, x.kind, x.qualifier, x.module, package, x.receiver, x.via, arrival, digest
 
 
+def parsed(files: DataFrame, *more: str) -> DataFrame:
+    """Nodes and raw references of every delivery, parsed where it lies, cut. Each row has also `arrival` and `digest` of its delivery and the columns named."""
+    d = deliveries(files, *more)
+    kinds = dict(d.dtypes)
+    schema = ", ".join([FACTS, f"arrival {kinds['arrival']}, digest bigint", *[f"{c} {kinds[c]}" for c in more]])
+    rows = lambda path, repo, arrival, digest, content, *rest: [(*r, *rest) for r in _facts(path, repo, arrival, digest, content)]
+    return cut(_arrow(d, rows, schema, "file_path", "repo_id", "arrival", "digest", "content", *more))
+
+
+def newest(raw: DataFrame) -> DataFrame:
+    """The facts that count of parsed() deliveries, cut: of several of one path those of the last to arrive, at a tie of the greatest digest."""
+    again = raw.where("record = 'node' and type = 'file'").groupBy("file_path").agg(F.max(F.struct("arrival", "digest")).alias("w"), F.count("*").alias("n")).where("n > 1").drop("n")
+    counts = F.col("w").isNull() | (F.col("arrival").eqNullSafe(F.col("w.arrival")) & (F.col("digest") == F.col("w.digest")))
+    return cut(raw.join(again, "file_path", "left").where(counts).select(*[c.split()[0] for c in FACTS.split(", ")]))
+
+
 def facts(files: DataFrame) -> DataFrame:
     """Nodes and raw references of all files in one pass, cut.
 
@@ -60,11 +76,7 @@ def facts(files: DataFrame) -> DataFrame:
     (at a tie the greatest digest); the facts of the others are taken out afterwards, so contents
     are never shuffled to find it.
     """
-    d = deliveries(files)
-    raw = cut(_arrow(d, _facts, f"{FACTS}, arrival {dict(d.dtypes)['arrival']}, digest bigint", "file_path", "repo_id", "arrival", "digest", "content"))
-    again = raw.where("record = 'node' and type = 'file'").groupBy("file_path").agg(F.max(F.struct("arrival", "digest")).alias("w"), F.count("*").alias("n")).where("n > 1").drop("n")
-    counts = F.col("w").isNull() | (F.col("arrival").eqNullSafe(F.col("w.arrival")) & (F.col("digest") == F.col("w.digest")))
-    return cut(raw.join(again, "file_path", "left").where(counts).drop("w", "arrival", "digest").select(*[c.split()[0] for c in FACTS.split(", ")]))
+    return newest(parsed(files))
 
 
 def structural_edges(nodes: DataFrame) -> DataFrame:
@@ -151,15 +163,21 @@ def patch_graph(nodes: DataFrame, edges: DataFrame, stored: DataFrame, files: Da
     again, against stored and new symbols alike; unchanged files in them may now mean a symbol that
     came, or no longer one that went. Other repositories keep their nodes and edges as they are.
     """
-    new = facts(files)
+    return patch_facts(nodes, edges, stored, facts(files), removed)
+
+
+def patch_facts(nodes: DataFrame, edges: DataFrame, stored: DataFrame, new: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """patch_graph() with the facts() of the files that came."""
     again = new.select("file_path").unionByName(removed.select("file_path")).distinct()
     repo = F.coalesce("repo_id", F.lit("")).alias("repo")
     touched = cut(new.select(repo).unionByName(stored.join(again, "file_path", "left_semi").select(repo)).distinct())
     kept = stored.join(again, "file_path", "left_anti").select(*new.columns)
     here = lambda df, how: df.join(touched, F.coalesce(df["repo_id"], F.lit("")) == touched["repo"], how)
     n, e = graph_of(cut(here(kept, "left_semi").unionByName(new)))
-    gone = here(nodes, "left_semi").select(F.col("id").alias("source"))
-    others = edges.join(gone, "source", "left_anti").select(*e.columns)
+    gone = here(nodes, "left_semi")
+    # by files too, for a source need not be a node: of a broken file the methods may be found and not their class
+    others = edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").withColumn("file_path", F.substring_index("source", "::", 1))
+    others = others.join(gone.where("type = 'file'").select("file_path"), "file_path", "left_anti").select(*e.columns)
     return here(nodes, "left_anti").select(*n.columns).unionByName(n), others.unionByName(e), kept.unionByName(new)
 
 

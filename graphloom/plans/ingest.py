@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import dims
-from graphloom.ingest.build import build_graph, facts, fingerprints, graph_of, patch_graph
+from graphloom.ingest.build import build_graph, facts, fingerprints, graph_of, newest, parsed, patch_facts
 from graphloom.runtime import table
 
 
@@ -22,22 +22,26 @@ def ingest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_graph(_files(spark, sf_dir))[1].groupBy("type", "resolution").agg(F.count("*").alias("n"))
 
 
+def n_differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either that the other lacks, each as often as it does: both are computed once."""
+    both = a.withColumn("n_differing", F.lit(1)).unionByName(b.withColumn("n_differing", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("n_differing").alias("n_differing")).agg(F.coalesce(F.sum(F.abs("n_differing")), F.lit(0).cast("bigint")).alias("n_differing"))
+
+
 def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last index run of each repository as one incremental step: rows in which the patched graph differs from a full build, none."""
+    """The last index run of each repository as one incremental step: rows in which the patched graph differs from a full build, none.
+
+    Every delivery is parsed once, and its facts serve the stored graph or the step, and the full build.
+    """
     files = _files(spark, sf_dir)
     last = files.groupBy(F.col("repo_id").alias("of")).agg(F.max("batch_no").alias("last"))
-    marked = files.join(last, F.col("repo_id").eqNullSafe(F.col("of")), "left")
-    before, later = marked.where("batch_no < last"), marked.where("batch_no >= last or last is null or batch_no is null")
-    stored = facts(before)
-    n, e = graph_of(stored)
-    patched = patch_graph(n, e, stored, later, later.select("file_path").limit(0))
-    full = build_graph(files)
-    out = None
-    for name, a, b in (("nodes", patched[0], full[0]), ("edges", patched[1], full[1])):
-        differ = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_differing"))
-        one = differ.select(F.lit(name).alias("of"), "n_differing")
-        out = one if out is None else out.unionByName(one)
-    return out
+    raw = parsed(files, "batch_no")
+    marked = raw.join(last, F.col("repo_id").eqNullSafe(F.col("of")), "left")
+    stored, new = newest(marked.where("batch_no < last")), newest(marked.where("batch_no >= last or last is null or batch_no is null"))
+    patched = patch_facts(*graph_of(stored), stored, new, new.select("file_path").limit(0))
+    full = graph_of(newest(raw))
+    of = lambda k, name: n_differing(patched[k], full[k]).select(F.lit(name).alias("of"), "n_differing")
+    return of(0, "nodes").unionByName(of(1, "edges"))
 
 
 def structural_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,9 +58,15 @@ def task_count(spark: SparkSession, df: DataFrame | None = None, per_core: int =
     """Tasks for a stage that works hard on few bytes (parsing, tokenizing).
 
     Such a stage must not inherit the few splits of a compressed file. So there are some tasks a
-    core, and more where the input, as Spark estimates it, gives each more than bytes_per_task.
+    core, and more where the input, as Spark estimates it, gives each more than bytes_per_task. For a join
+    Spark multiplies its sides, so no more than all that the plan reads is taken.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if df is not None else 0
+    size = 0
+    if df is not None:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        leaves = plan.collectLeaves()
+        of = lambda x: int(str(x.stats().sizeInBytes()))
+        size = min(of(plan), sum(of(leaves.apply(i)) for i in range(leaves.size())))
     if size > 1 << 50:  # Spark's guess where nothing is known
         size = 0
     return max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_per_task))

@@ -3,10 +3,12 @@
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.ingest.build import build_graph, facts, graph_of, patch_graph
 from graphloom.ingest.resolve import drops, merge_resolved
-from graphloom.runtime import cut
+from graphloom.plans.ingest import n_differing
+from graphloom.runtime import cut, table, task_count
 from graphloom.sources.tables import apply_files, pointer, read_graph, write_version
 from tests.helpers import T0
 
@@ -111,6 +113,26 @@ def test_steps_end_where_a_full_build_does(spark):
     assert ("b.py::go", "external:a.helper_one", "calls", 0.5, "external_package") in edge_set(e)
 
 
+def test_a_step_leaves_no_edge_of_a_class_that_is_no_node(spark):
+    tree = {"a.py": "class Box:\n    def put(self):\n        pass\n<<<<<<< here\n", "b.py": "def go():\n    pass\n"}
+    stored = facts(files(spark, tree))
+    n, e, _ = patch_graph(*graph_of(stored), stored, files(spark, {"b.py": "def went():\n    pass\n"}, 1), spark.createDataFrame([], "file_path string"))
+    assert [r["source"] for r in e.collect() if r["target"] == "a.py::Box.put"] == ["a.py::Box"]
+    assert not n.where("id = 'a.py::Box'").count()
+
+
+def test_differing_rows_count_as_often_as_they_differ(spark):
+    a = spark.createDataFrame([("x", ["t"]), ("x", ["t"]), ("y", None), (None, None)], "k string, tags array<string>")
+    b = spark.createDataFrame([("x", ["t"]), ("y", ["t"]), (None, None)], "k string, tags array<string>")
+    assert [n_differing(p, q).first()[0] for p, q in ((a, b), (b, a), (a, a), (a, a.limit(0)), (a.limit(0), a.limit(0)))] == [3, 3, 0, 4, 0]
+
+
+def test_a_join_is_dealt_out_by_what_it_reads(spark, sf):
+    t = table(spark, sf, "source_files")
+    last = t.groupBy("repo_id").agg(F.max("batch_no").alias("last"))
+    assert task_count(spark, t.join(last, "repo_id"), bytes_per_task=1 << 10) <= 2 * max(task_count(spark, t, bytes_per_task=1 << 10), task_count(spark))
+
+
 def test_stored_steps_on_any_storage(spark, tmp_path):
     at = f"file:{tmp_path}/graph"
     none = spark.createDataFrame([], "file_path string")
